@@ -1,10 +1,12 @@
 """Linear document classifiers, fitted on a bounded sample of labelled rows.
 
 Features of a text: shares of character classes and of repeated words, each
-put into ten equally filled bins, and the presence of the words that tell the
+put into bins at fixed quantiles, and presence of the words that tell the
 classes apart best (log-likelihood ratio statistic).  The fit is ridge
 logistic regression by Newton's method on the driver, over at most ``SAMPLE``
 labelled documents and ``WORDS`` words a category; scoring runs everywhere.
+A word's beginnings count too, with their density, so that inflected forms
+share weight.
 """
 
 from __future__ import annotations
@@ -16,16 +18,24 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Labelled documents that a fit takes at most, by a hash of their ids.
 SAMPLE = 6000
 #: Words that a category's model takes at most, and labelled documents that must have one.
 WORDS, LEAST_DOCS = 200, 4
-BINS = 10
+#: Words of the sample that reach the driver: the best by the same statistic.
+CANDIDATES = 3000
+#: Lengths of the beginnings of words that are features too.
+STEMS = (4, 5, 6, 7)
+#: Quantiles of the dense features at which bins begin; junk is rare, so the tails are finer.
+QUANTILES = (0.01, 0.03, 0.1, 0.3, 0.5, 0.7, 0.85, 0.9, 0.93, 0.95, 0.97, 0.99)
+BINS = len(QUANTILES) + 1
 FOLDS = 5
 _WORD = re.compile(r"[^\W_]+").findall
 
 
-def describe(text: str | None) -> tuple[list[float], dict[str, int]]:
+def describe(text: str | None) -> tuple[list[float], Counter]:
     """Dense features of a text, and its words with their counts."""
     import numpy as np
 
@@ -54,6 +64,17 @@ def describe(text: str | None) -> tuple[list[float], dict[str, int]]:
     return [float(x) for x in dense], words
 
 
+def with_stems(words: Counter) -> dict[str, float]:
+    """Words and beginnings (``begi*``) with their counts for each hundred words."""
+    out = Counter(words)
+    for w, c in words.items():
+        for k in STEMS:
+            if len(w) > k:
+                out[w[:k] + "*"] += c
+    share = 100 / max(1, sum(words.values()))
+    return {w: c * share for w, c in out.items()}
+
+
 @dataclass
 class Model:
     """One logistic model: bin edges, words and one weight each; extra inputs come last."""
@@ -62,16 +83,19 @@ class Model:
     words: dict[str, int] = field(default_factory=dict)
     weights: object = None
 
-    def row(self, dense: list[float], words, extra=()):
+    def row(self, dense: list[float], words: dict[str, float], extra=()):
+        """words: densities of words and beginnings, those of the model at least."""
         import numpy as np
 
-        x = np.zeros(1 + len(dense) * BINS + len(self.words) + len(extra))
+        x = np.zeros(1 + len(dense) * BINS + 2 * len(self.words) + len(extra))
         x[0] = 1
         for i, (value, edge) in enumerate(zip(dense, self.edges, strict=True)):
             x[1 + i * BINS + int(np.searchsorted(edge, value, "right"))] = 1
         at = 1 + len(dense) * BINS
-        for w in self.words.keys() & words:
-            x[at + self.words[w]] = 1
+        for w in self.words.keys() & words.keys():
+            x[at + 2 * self.words[w]] = 1
+            if w[-1] == "*":  # anyone's texts have a few such forms, so their density counts
+                x[at + 2 * self.words[w] + 1] = np.log1p(words[w])
         if len(extra):
             x[-len(extra) :] = extra
         return x
@@ -80,7 +104,7 @@ class Model:
         return float(self.row(dense, words, extra) @ self.weights)
 
 
-def telling_words(texts: list[set], y, most: int = WORDS, least: int = LEAST_DOCS) -> list[str]:
+def telling_words(texts: list[dict], y, most: int = WORDS, least: int = LEAST_DOCS) -> list[str]:
     """The words whose presence tells y best, by the G statistic of their 2x2 table."""
     import numpy as np
 
@@ -101,7 +125,7 @@ def telling_words(texts: list[set], y, most: int = WORDS, least: int = LEAST_DOC
     return [names[i] for i in best if g[i] > 5]
 
 
-def newton(x, y, ridge: float = 0.3, steps: int = 12):
+def newton(x, y, ridge: float = 0.02, steps: int = 12):
     """Weights of ridge logistic regression; column 0 is not shrunk."""
     import numpy as np
 
@@ -117,18 +141,24 @@ def newton(x, y, ridge: float = 0.3, steps: int = 12):
     return w
 
 
-def fit(dense: list, texts: list[set], y, extra=None) -> Model:
+def fit(dense: list, texts: list[dict], y, extra=None) -> Model:
     """extra: one row of further inputs for each document."""
     import numpy as np
 
     values = np.array(dense, float)
-    model = Model([np.unique(np.quantile(values[:, i], np.linspace(0, 1, BINS + 1)[1:-1])).tolist() for i in range(values.shape[1])])
+    model = Model([np.unique(np.quantile(values[:, i], QUANTILES)).tolist() for i in range(values.shape[1])])
     model.words = {w: i for i, w in enumerate(telling_words(texts, y))}
     rows = np.array([model.row(d, t, () if extra is None else extra[i]) for i, (d, t) in enumerate(zip(dense, texts, strict=True))])
     model.weights = newton(rows, np.array(y, float))
     return model
 
 
+def inputs(text: str | None) -> tuple[list[float], dict[str, float]]:
+    """Dense features and densities of a text, as a model takes them."""
+    dense, words = describe(text)
+    return dense, with_stems(words)
+
+
 @dataclass
 class Chain:
     """Models of the categories in order; each sees the probabilities of those before it."""
@@ -145,7 +175,7 @@ class Chain:
         return out
 
 
-def fit_chain(names: list[str], dense: list, texts: list[set], labels: list[list[int]], folds: list[int]) -> Chain:
+def fit_chain(names: list[str], dense: list, texts: list[dict], labels: list[list[int]], folds: list[int]) -> Chain:
     """labels: one list a category.  Later models are trained on out-of-fold probabilities of the earlier ones."""
     import numpy as np
 
@@ -179,18 +209,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], sample
         import pyarrow as pa
 
         for batch in batches:
-            found = [describe(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([d for d, _ in found], pa.list_(pa.float64())), pa.array([" ".join(w) for _, w in found])], [*batch.schema.names[1:], "dense", "words"])
+            found = [(dense, with_stems(words)) for dense, words in map(describe, batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([d for d, _ in found], pa.list_(pa.float64())), pa.array([list(w) for _, w in found], pa.list_(pa.string())), pa.array([list(w.values()) for _, w in found], pa.list_(pa.float64()))], [*batch.schema.names[1:], "dense", "words", "shares"])
+
+    marks = [f"_{c}" for c in names]
+    rows = docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").select("text", F.col("doc_id").cast("long").alias("doc_id"), *marks)
+    got = materialize(rows.mapInArrow(features, "doc_id long, " + ", ".join(f"{c} int" for c in marks) + ", dense array<double>, words array<string>, shares array<double>"), "sample")
+    size = got.agg(F.count("*"), *(F.sum(c) for c in marks)).first()
+    counts = got.select(*marks, F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in marks)).filter(F.col("n") >= LEAST_DOCS)
+    scores = [_statistic(F.col(c), F.col("n"), size[1 + k], size[0]) for k, c in enumerate(marks)]
+    best = counts.select("word", (F.greatest(*scores) if len(scores) > 1 else scores[0]).alias("g")).orderBy(F.desc("g"), "word").limit(CANDIDATES)
+    wanted = {r["word"] for r in best.collect()}
+
+    def narrow(batches):
+        import pyarrow as pa
+
+        at = len(marks) + 2
+        for batch in batches:
+            kept = [[(w, x) for w, x in zip(*pair, strict=True) if w in wanted] for pair in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([[w for w, _ in x] for x in kept], pa.list_(pa.string())), pa.array([[x for _, x in k] for k in kept], pa.list_(pa.float64()))], batch.schema.names)
 
-    rows = docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").select("text", F.col("doc_id").cast("long").alias("doc_id"), *(f"_{c}" for c in names))
-    got = rows.mapInArrow(features, "doc_id long, " + ", ".join(f"_{c} int" for c in names) + ", dense array<double>, words string")
-    ids, dense, texts, out, seen = [], [], [], [[] for _ in names], {}
-    for r in sorted(got.toLocalIterator(), key=lambda r: (r["doc_id"], r["words"])):
+    ids, dense, texts, out = [], [], [], [[] for _ in names]
+    for r in sorted(got.mapInArrow(narrow, got.schema).collect(), key=lambda r: (r["doc_id"], r["dense"])):
         if r["doc_id"] in ids[-1:]:
             continue
         ids.append(r["doc_id"])
         dense.append(list(r["dense"]))
-        texts.append({seen.setdefault(w, w) for w in r["words"].split()})
-        for k, c in enumerate(names):
-            out[k].append(r[f"_{c}"])
+        texts.append(dict(zip(r["words"], r["shares"], strict=True)))
+        for k, c in enumerate(marks):
+            out[k].append(r[c])
     return ids, dense, texts, out
+
+
+def _statistic(hit, n, positives, total):
+    """G statistic of a word's 2x2 table, as a column."""
+    positives, total = positives or 0, max(1, total)
+    cells = [(hit, n * positives / total), (n - hit, n * (total - positives) / total), (positives - hit, (total - n) * positives / total), (total - positives - n + hit, (total - n) * (total - positives) / total)]
+    return sum((F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))

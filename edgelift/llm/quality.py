@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .linear import SAMPLE, describe, fit, labelled_sample
+from .linear import SAMPLE, fit, inputs, labelled_sample
 
 #: Paths up to which their table is broadcast (about 60 bytes each); beyond, it is joined.
 MOST_BROADCAST = 100_000
@@ -40,7 +40,7 @@ def with_evidence(docs: DataFrame, model, column: str = "_z") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = [max(-12.0, min(12.0, model.logit(*describe(t.as_py())))) for t in batch.column("text")]
+            found = [max(-12.0, min(12.0, model.logit(*inputs(t.as_py())))) for t in batch.column("text")]
             yield batch.append_column(column, pa.array(found, pa.float64()))
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import FOLDS, SAMPLE, Chain, describe, fit_chain, labelled_sample
+from .linear import FOLDS, SAMPLE, Chain, fit_chain, inputs, labelled_sample
 
 #: Probability from which a document counts as toxic.
 THRESHOLD = 0.5
@@ -31,7 +31,7 @@ def score_chain(docs: DataFrame, chain: Chain | None) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = [chain.probabilities(*describe(t.as_py())) for t in batch.column("text")]
+            found = [chain.probabilities(*inputs(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([p[k] for p in found], pa.float64()) for k in range(len(names)))], ["doc_id", *(f"p_{c}" for c in names)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, " + ", ".join(f"p_{c} double" for c in names))
