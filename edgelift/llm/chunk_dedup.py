@@ -15,6 +15,8 @@ from .token_store import gear_table, rolling
 
 #: One in 2**BITS places is a cut, unless another hit lies within GAP bytes before.
 BITS, GAP = 5, 8
+#: Bytes without a cut from which a stretch is cut where its commonest hash stands.
+STRETCH = 256
 #: Characters from which neighbouring repeats are reported: fifty words less the chunks at their ends.
 LEAST = 100
 
@@ -28,12 +30,26 @@ def cuts(data: bytes):
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.empty(0, np.int64)
-    hits = np.flatnonzero(rolling(raw, gear_table()) >> np.uint16(16 - BITS) == 0) + 1
+    hashes = rolling(raw, gear_table())
+    hits = np.flatnonzero(hashes >> np.uint16(16 - BITS) == 0) + 1
     hits = hits[(np.diff(hits, prepend=-GAP) >= GAP) & (hits < len(raw))]
-    hits = hits[raw[hits] & 0xC0 != 0x80]  # never inside a character
+    hits = np.concatenate([hits, *_stretches(hashes, np.concatenate([[0], hits]), np.append(hits, len(raw)))])
+    hits = np.sort(hits[raw[hits] & 0xC0 != 0x80])  # never inside a character
     return np.append(hits, len(raw))
 
 
+def _stretches(hashes, begins, ends):
+    """Further cuts in long stretches, such as one word over and over, whose few hashes never hit the mask."""
+    import numpy as np
+
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+        if b - a > STRETCH:
+            values, counts = np.unique(hashes[a:b], return_counts=True)
+            places = np.flatnonzero(hashes[a:b] == values[2 * counts >= counts.max()].max()) + a + 1
+            step = -(-GAP * len(places) // (b - a))
+            yield places[::step][places[::step] < b]
+
+
 def chunk_documents(docs: DataFrame) -> DataFrame:
     """digest, doc_id, row, at, stop of every chunk; ``row`` tells repeated rows apart, places are in code points."""
 

@@ -53,8 +53,34 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import find_toxic
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("doc_id", "1 - quality AS low_quality", "toxic")
+    return find_toxic(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels, ["low_quality", "toxic"])
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    return judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunk_dedup import repeated_passages
+
+    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_items
+
+    return find_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op4_url_rules, op5_secrets, op8_packing)}
+    return {f.__name__: f for f in (op1_token_store, op2_toxicity, op4_url_rules, op5_secrets, op6_quality, op8_packing, op9_repeated_passages, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
