@@ -26,6 +26,8 @@ SAMPLE = 6000
 WORDS, LEAST_DOCS = 200, 4
 #: Words of the sample that reach the driver: the best by the same statistic.
 CANDIDATES = 3000
+#: Ridges of the bins' weights, and of the words', which have to pass the statistic first.
+BIN_RIDGE, WORD_RIDGE = 1.0, 0.05
 #: Lengths of the beginnings of words that are features too.
 STEMS = (4, 5, 6, 7)
 #: Quantiles of the dense features at which bins begin; junk is rare, so the tails are finer.
@@ -125,13 +127,12 @@ def telling_words(texts: list[dict], y, most: int = WORDS, least: int = LEAST_DO
     return [names[i] for i in best if g[i] > 5]
 
 
-def newton(x, y, ridge: float = 0.02, steps: int = 12):
-    """Weights of ridge logistic regression; column 0 is not shrunk."""
+def newton(x, y, ridge, steps: int = 12):
+    """Weights of logistic regression with a ridge for each column."""
     import numpy as np
 
     w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
-    keep[0] = 1e-6
+    keep = np.asarray(ridge, float)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
@@ -149,7 +150,9 @@ def fit(dense: list, texts: list[dict], y, extra=None) -> Model:
     model = Model([np.unique(np.quantile(values[:, i], QUANTILES)).tolist() for i in range(values.shape[1])])
     model.words = {w: i for i, w in enumerate(telling_words(texts, y))}
     rows = np.array([model.row(d, t, () if extra is None else extra[i]) for i, (d, t) in enumerate(zip(dense, texts, strict=True))])
-    model.weights = newton(rows, np.array(y, float))
+    shrunk = np.full(rows.shape[1], WORD_RIDGE)
+    shrunk[0], shrunk[1 : 1 + values.shape[1] * BINS] = 1e-6, BIN_RIDGE
+    model.weights = newton(rows, np.array(y, float), shrunk)
     return model
 
 

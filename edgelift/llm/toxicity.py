@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .linear import FOLDS, SAMPLE, Chain, fit_chain, inputs, labelled_sample
 
 #: Probability from which a document counts as toxic.
-THRESHOLD = 0.5
+THRESHOLD = 0.35
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE) -> Chain | None:
