@@ -79,8 +79,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_documents
+
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)
+
+
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_index import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 20 = 0", 20)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_store, op2_toxicity, op4_url_rules, op5_secrets, op6_quality, op8_packing, op9_repeated_passages, op10_decontamination)}
+    own = (op1_token_store, op2_toxicity, op3_ngram_join, op4_url_rules, op5_secrets, op6_quality, op7_nearest_vectors, op8_packing, op9_repeated_passages, op10_decontamination)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
