@@ -27,13 +27,15 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, width
 from .graph import components
 
 #: Band edges grow by this factor; it exceeds the ratio of the sizes of two similar sets.
 GROWTH = 4 / 3
 #: Cost of a set that must index an empty segment, in index entries.
 OVERFULL = 3000.0
+#: Sets that a task remembers, to index copies once.
+REMEMBERED = 200_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -164,24 +166,66 @@ def node_of(grams) -> int:
 
 
 def signed_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node, keys of each row of ``docs``."""
+    """doc_id, n_shingles, node, keys of each row of ``docs``; copies that a task has just seen get no keys again."""
 
     def sign(batches):
         import numpy as np
         import pyarrow as pa
 
+        none, seen = np.empty(0, np.int64), set()
         for batch in batches:
             sizes, nodes, keys = [], [], []
             for text in batch.column(1):
                 grams = hashed_ngrams(text.as_py(), n)
+                node = node_of(grams) if len(grams) else None
                 sizes.append(len(grams))
-                nodes.append(node_of(grams) if len(grams) else None)
-                keys.append(signatures(grams, percent).view(np.int64))
+                nodes.append(node)
+                keys.append(none if node in seen else signatures(grams, percent).view(np.int64))
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(node)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, keys array<long>")
 
 
+def members_of(signed: DataFrame) -> DataFrame:
+    """key, node, low of the buckets with several nodes; low is the smallest.
+
+    The entries are sorted over all tasks by key and node, so that even one
+    bucket is spread over as many tasks as it fills; a row stays if a
+    neighbour has its key, or if it stands at the edge of a task.
+    """
+
+    def runs(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, out = None, lambda k, n: pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["key", "node"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            alone = True  # no row before the first one has its key
+            if held:
+                k, n, alone = np.append(held[0], k), np.append(held[1], n), held[2]
+            new = np.append(True, (k[1:] != k[:-1]) | (n[1:] != n[:-1]))
+            k, n = k[new], n[new]
+            same = k[1:] == k[:-1]
+            before, after = np.append(not alone, same), np.append(same, False)
+            keep = before | after
+            keep[0] |= held is None
+            yield out(k[:-1][keep[:-1]], n[:-1][keep[:-1]])
+            held = (k[-1], n[-1], not before[-1])
+        if held:
+            yield out([held[0]], [held[1]])
+
+    entries = signed.filter("node is not null").select(F.explode("keys").alias("key"), "node")
+    near = materialize(entries.repartitionByRange(width(signed.sparkSession), "key", "node").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, node long"), "near")
+    shared = near.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
+    return materialize(near.join(shared, "key").distinct(), "members")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) that are links; texts: node, text."""
 
@@ -221,11 +265,9 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     null doc_id take part but never name a component that has other ids;
     an empty table gives no rows.  percent: above 50, below 100.
     """
-    spark = docs.sparkSession
     signed = materialize(signed_documents(docs, n, percent), "signed")
-    entries = signed.filter("node is not null").select(F.explode("keys").alias("key"), "node")
-    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
-    members = materialize(entries.join(shared, "key").distinct(), "members")
+    members = members_of(signed)
+    signed = materialize(signed.drop("keys"), "sets")
     sizes = signed.filter("node is not null").groupBy("node").agg(F.min("n_shingles").alias("size"), F.min("doc_id").alias("_id"))
 
     wanted = members.select("node").distinct().join(sizes, "node").select("node", "_id", "size")
