@@ -1,0 +1 @@
+"""Readers and writers of graphs, queries and results."""
