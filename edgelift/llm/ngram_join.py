@@ -10,10 +10,12 @@ with deletions, and how many a set may leave out because they hold next to
 nothing, is the cheapest choice under a cost model of index entries and
 overfull buckets.
 
-Documents in one bucket are compared with its smallest member first.  What is
-linked then needs no further comparison; the pairs of a bucket that are still
-in different components are compared in full, so no link between components
-is lost.  Verification counts n-grams of the texts themselves.
+Each document is first compared with one central member of its buckets.  What
+is linked then needs no further comparison.  Members of a bucket that are still
+in different components are compared within blocks of the bucket, where only
+links that join two components are given out: a group of near copies yields as
+many rows as it has members, and no connection is lost.  Every link is verified
+on the n-grams of the texts themselves.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ GROWTH = 4 / 3
 OVERFULL = 3000.0
 #: Sets that a task remembers, to index copies once.
 REMEMBERED = 200_000
+#: Members up to which a bucket's pairs are listed, and members of a block beyond.
+FEW, BLOCK = 8, 1024
+#: Bits of the parity vector that bounds the difference of two sets from below.
+PARITY = 1024
 
 
 def words(text: str | None) -> list[bytes]:
@@ -190,7 +196,7 @@ def signed_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def members_of(signed: DataFrame) -> DataFrame:
-    """key, node, low of the buckets with several nodes; low is the smallest.
+    """key, node of the buckets with several nodes.
 
     The entries are sorted over all tasks by key and node, so that even one
     bucket is spread over as many tasks as it fills; a row stays if a
@@ -222,7 +228,7 @@ def members_of(signed: DataFrame) -> DataFrame:
 
     entries = signed.filter("node is not null").select(F.explode("keys").alias("key"), "node")
     near = materialize(entries.repartitionByRange(width(signed.sparkSession), "key", "node").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, node long"), "near")
-    shared = near.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
+    shared = near.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
     return materialize(near.join(shared, "key").distinct(), "members")
 
 
@@ -255,6 +261,58 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "first", "second").mapInArrow(count, "u long, v long")
 
 
+def joining(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """u, v: likely links among the members (key, node, component, held) of large buckets that join components.
+
+    A bucket is dealt out as pairs of blocks.  Within one, pairs of different
+    components that the parity vectors do not tell apart are counted on their
+    hashes and united at once, so a block gives out fewer rows than it has members.
+    """
+
+    def hashes(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed_ngrams(t.as_py(), n).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "grams"])
+
+    def unite(frame):
+        import numpy as np
+        import pandas as pd
+
+        grams = [np.sort(g.view(np.uint64)) for g in frame["grams"]]
+        size = np.array([len(g) for g in grams])
+        bits = np.zeros((len(grams), PARITY), np.uint8)
+        for row, g in zip(bits, grams, strict=True):
+            row[np.flatnonzero(np.bincount((g & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1)] = 1
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        node, component, part = frame["node"].to_numpy(), frame["component"].to_numpy(), frame["part"].to_numpy()
+        groups = {c: i for i, c in enumerate(dict.fromkeys(component.tolist()))}
+        group = np.array([groups[c] for c in component.tolist()])
+        first, second = frame["i"].iloc[0], frame["j"].iloc[0]
+        u, v = [], []
+        for a in np.flatnonzero(part == first):
+            can = (group != group[a]) & (part == second)
+            if first == second:
+                can[: a + 1] = False
+            can = np.flatnonzero(can & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])))
+            apart = np.bitwise_count(packed[can] ^ packed[a]).sum(1)
+            for b in can[(100 + percent) * apart <= (100 - percent) * (size[can] + size[a])]:
+                if group[a] != group[b]:
+                    both = len(np.intersect1d(grams[a], grams[b], assume_unique=True))
+                    if 100 * both >= percent * (size[a] + size[b] - both):
+                        u.append(max(node[a], node[b]))
+                        v.append(min(node[a], node[b]))
+                        group[group == group[b]] = group[a]
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+    parts = F.ceil(F.col("held") / BLOCK).cast("int")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("key", "node", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    rows = dealt.join(texts.select("node", "text").mapInArrow(hashes, "node long, grams array<long>"), "node")
+    return rows.groupBy("key", "i", "j").applyInPandas(unite, "u long, v long")
+
+
 def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
@@ -280,24 +338,22 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
         a, b = size.select(F.col("node").alias("u"), F.col("size").alias("_a")), size.select(F.col("node").alias("v"), F.col("size").alias("_b"))
         return pairs.join(a, "u").join(b, "v").filter(100 * F.least("_a", "_b") >= percent * F.greatest("_a", "_b")).select("u", "v")
 
-    # each node with the smallest member over all its buckets
-    first = members.filter("node <> low").groupBy("node").agg(F.min("low").alias("v")).withColumnRenamed("node", "u")
-    tried = materialize(first, "pairs")
+    # each node with the one of its bucket mates that is in most buckets
+    weight = members.groupBy("node").agg(F.count("*").alias("n"))
+    weighed = members.join(weight, "node").select("key", F.struct("n", "node").alias("w"))
+    central = weighed.groupBy("key").agg(F.max("w").alias("top"))
+    best = members.join(central, "key").groupBy("node").agg(F.max("top").alias("top")).select(F.col("node").alias("u"), F.col("top.node").alias("v")).filter("u <> v")
+    tried = materialize(best, "pairs")
     links = materialize(verify(fits(tried), texts, n, percent), "links")
-    for whole in (False, True):
-        label = components(links)
-        placed = members.join(label, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("component"))
-        split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-        open_ = materialize(placed.join(split, "key"), "open")
-        if whole:
-            other = open_.select("key", F.col("node").alias("v"), F.col("component").alias("c"))
-            pairs = open_.join(other, "key").filter("component <> c AND node > v").select(F.col("node").alias("u"), "v")
-        else:
-            low = label.select(F.col("node").alias("low"), F.col("component").alias("c"))
-            pairs = open_.join(low, "low", "left").filter(F.col("component") != F.coalesce("c", "low")).select(F.col("node").alias("u"), F.col("low").alias("v"))
-        fresh = materialize(fits(pairs.distinct().join(tried, ["u", "v"], "left_anti")), "pairs")
-        tried = tried.union(fresh)
-        links = links.union(materialize(verify(fresh, texts, n, percent), "links"))
+    label = materialize(components(links), "label")
+    placed = members.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("held")).filter("a < b").select("key", "held")
+    open_ = materialize(placed.join(split, "key"), "open")
+    few, many = open_.filter(F.col("held") <= FEW), open_.filter(F.col("held") > FEW)
+    other = few.select("key", F.col("node").alias("v"), F.col("component").alias("c"))
+    pairs = few.join(other, "key").filter("component <> c AND node > v").select(F.col("node").alias("u"), "v").union(joining(many, texts, n, percent))
+    fresh = materialize(fits(pairs.distinct().join(tried, ["u", "v"], "left_anti")), "pairs")
+    links = links.union(materialize(verify(fresh, texts, n, percent), "links"))
     label = components(links)
     named = signed.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     smallest = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
