@@ -25,6 +25,7 @@ from collections import OrderedDict
 from dataclasses import dataclass
 from functools import cache
 from hashlib import blake2b
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,13 @@ from .graph import components
 #: Band edges grow by this factor; it exceeds the ratio of the sizes of two similar sets.
 GROWTH = 4 / 3
 #: Cost of a set that must index an empty segment, in index entries.
-OVERFULL = 3000.0
+OVERFULL = 1000.0
 #: Sets that a task remembers, to index copies once.
 REMEMBERED = 200_000
+#: Documents sampled for common n-grams, how many of them an n-gram must be in, and n-grams kept.
+COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 2000, 6, 20_000
+#: Rows of a few numbers each (about 24 bytes) up to which a table is broadcast.
+MOST_BROADCAST = 200_000
 #: Members up to which a bucket's pairs are listed, and members of a block beyond.
 FEW, BLOCK = 8, 1024
 #: Bits of the parity vector that bounds the difference of two sets from below.
@@ -71,7 +76,7 @@ class Band:
 def allocate(distance: int, size: float) -> tuple[int, int, int]:
     """(segments, doubled, spare) of least cost; segments + doubled = distance + 1 + 2 * spare."""
     best = None
-    for spare in range(4):
+    for spare in range(17):
         for doubled in range(4):
             segments = distance + 1 + 2 * spare - doubled
             if segments < max(1, doubled) or spare > segments - doubled:
@@ -79,7 +84,8 @@ def allocate(distance: int, size: float) -> tuple[int, int, int]:
             held = size / segments
             empty = segments * math.exp(-held)
             over = 1 - sum(math.exp(-empty) * empty**k / math.factorial(k) for k in range(spare + 1))
-            cost = segments + doubled * held + OVERFULL * over
+            over += doubled * (1 + held) * math.exp(-held)  # nor may one deletion leave nothing
+            cost = segments - spare + doubled * held + OVERFULL * over
             best = min(best or (cost, 0, 0, 0), (cost, segments, doubled, spare))
             if best[1] == 0:
                 best = (cost, segments, doubled, spare)
@@ -96,7 +102,7 @@ def bands(percent: int, most: int) -> list[Band]:
         else:
             high = max(1, math.ceil((100 + percent) / (2 * (100 - percent))) - 1)
         distance = 2 * high * (100 - percent) // (100 + percent)
-        out.append(Band(number, low, high, distance, *(allocate(distance, math.sqrt(low * high)) if distance else (0, 0, 0))))
+        out.append(Band(number, low, high, distance, *(allocate(distance, low) if distance else (0, 0, 0))))
         low, number = high + 1, number + 1
     return out
 
@@ -138,7 +144,46 @@ def hashed_ngrams(text: str | None, n: int):
     return np.unique(total)
 
 
-def signatures(grams, percent: int):
+def common_ngrams(docs: DataFrame, n: int):
+    """Sorted hashes of n-grams that many sampled documents share, such as those of licence lines.
+
+    Index entries leave them out, as two sets differ by no more without them
+    than with them.  The bounded sample only steers cost, never the result.
+    """
+    import numpy as np
+
+    def grams(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([hashed_ngrams(t.as_py(), n).view(np.int64) for t in batch.column(0)], pa.list_(pa.int64()))], ["grams"])
+
+    sample = docs.select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(COMMON_SAMPLE).select("text")
+    counts = sample.mapInArrow(grams, "grams array<long>").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    found = counts.filter(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "gram").limit(COMMON_MOST).select("gram").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def variants(grams, common, percent: int) -> list[tuple[int, object]]:
+    """(salt, hashes to index): the set without common n-grams, or as it is if they are most of it; near the border both.
+
+    Of two similar sets, one that is mostly uncommon leaves the other enough
+    to be indexed without the common ones too.
+    """
+    import numpy as np
+
+    if not len(common):
+        return [(1, grams)]
+    rest = grams[common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams]
+    t, out = percent / 100, []
+    if 2 * len(rest) <= len(grams):
+        out.append((1, grams))
+    if len(rest) and len(rest) >= max(0.0, t / 2 - (1 + 1 / t) * (1 - t) / (1 + t)) * len(grams) - 1:
+        out.append((2, rest))
+    return out
+
+
+def signatures(grams, percent: int, common=()):
     """Index entries of a set (sorted hashes): own band, and the next one if it can hold a similar larger set."""
     import numpy as np
 
@@ -147,17 +192,16 @@ def signatures(grams, percent: int):
         return np.empty(0, np.uint64)
     table = bands(percent, 2 ** max(8, size.bit_length() + 1))
     own = next(b for b in table if size <= b.high)
-    values = mix(grams ^ np.uint64(0x5851F42D4C957F2D))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-    for band in (own, table[own.number + 1]):
-        if not band.distance or 100 * size < percent * band.low:
-            continue
+    near = [b for b in (own, table[own.number + 1]) if b.distance and 100 * size >= percent * b.low]
+    for (kind, grams), band in product(variants(grams, common, percent), near):
+        values = mix(grams ^ np.uint64(0x5851F42D4C957F2D))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
         of = (grams >> np.uint64(40)) * np.uint64(band.segments) >> np.uint64(24)
         edges = np.searchsorted(of, np.arange(band.segments + 1, dtype=np.uint64))
         held = np.diff(edges)
         key = sums[edges[1:]] - sums[edges[:-1]]
-        salt = mix(np.arange(band.segments, dtype=np.uint64) + np.uint64(band.number << 32 | 1))
-        light = sorted((n, i) for i, n in enumerate(held.tolist()) if n <= 2 and i >= band.doubled)[: band.spare]
+        salt = mix(np.arange(band.segments, dtype=np.uint64) + np.uint64(band.number << 32 | kind << 24))
+        light = sorted((n, i) for i, n in enumerate(held.tolist()) if i >= band.doubled)[: band.spare]
         stays = np.ones(band.segments, bool)
         stays[[i for _, i in light]] = False
         out.append(mix(key + salt)[stays])
@@ -171,36 +215,50 @@ def node_of(grams) -> int:
     return int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signed_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node, keys of each row of ``docs``; copies that a task has just seen get no keys again."""
+def set_of_documents(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, node of each row of ``docs``; node is null for an empty set."""
+
+    def measure(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            grams = [hashed_ngrams(t.as_py(), n) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in grams], pa.int64()), pa.array([node_of(g) if len(g) else None for g in grams], pa.int64())], ["doc_id", "n_shingles", "node"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measure, "doc_id long, n_shingles long, node long")
+
+
+def entries_of_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """key, node: the index entries; copies that a task has just seen get none again."""
+    common = common_ngrams(docs, n)
 
     def sign(batches):
         import numpy as np
         import pyarrow as pa
 
-        none, seen = np.empty(0, np.int64), set()
+        seen = set()
         for batch in batches:
-            sizes, nodes, keys = [], [], []
-            for text in batch.column(1):
+            keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for text in batch.column(0):
                 grams = hashed_ngrams(text.as_py(), n)
-                node = node_of(grams) if len(grams) else None
-                sizes.append(len(grams))
-                nodes.append(node)
-                keys.append(none if node in seen else signatures(grams, percent).view(np.int64))
+                node = node_of(grams)
                 if len(seen) >= REMEMBERED:
                     seen.clear()
-                seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "keys"])
+                if node not in seen:
+                    seen.add(node)
+                    keys.append(signatures(grams, percent, common).view(np.int64))
+                    nodes.append(np.full(len(keys[-1]), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, keys array<long>")
+    return docs.select("text").mapInArrow(sign, "key long, node long")
 
 
-def members_of(signed: DataFrame) -> DataFrame:
+def members_of(entries: DataFrame) -> DataFrame:
     """key, node of the buckets with several nodes.
 
-    The entries are sorted over all tasks by key and node, so that even one
-    bucket is spread over as many tasks as it fills; a row stays if a
-    neighbour has its key, or if it stands at the edge of a task.
+    Most keys are in one set only.  The entries pass through one exchange,
+    sorted by key, and a row stays if a neighbour has its key; a bucket is
+    never gathered, and holds a small part of all entries, as each set has many.
     """
 
     def runs(batches):
@@ -220,14 +278,12 @@ def members_of(signed: DataFrame) -> DataFrame:
             same = k[1:] == k[:-1]
             before, after = np.append(not alone, same), np.append(same, False)
             keep = before | after
-            keep[0] |= held is None
             yield out(k[:-1][keep[:-1]], n[:-1][keep[:-1]])
             held = (k[-1], n[-1], not before[-1])
-        if held:
+        if held and not held[2]:
             yield out([held[0]], [held[1]])
 
-    entries = signed.filter("node is not null").select(F.explode("keys").alias("key"), "node")
-    near = materialize(entries.repartitionByRange(width(signed.sparkSession), "key", "node").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, node long"), "near")
+    near = materialize(entries.repartition(width(entries.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, node long"), "near")
     shared = near.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
     return materialize(near.join(shared, "key").distinct(), "members")
 
@@ -323,13 +379,12 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     null doc_id take part but never name a component that has other ids;
     an empty table gives no rows.  percent: above 50, below 100.
     """
-    signed = materialize(signed_documents(docs, n, percent), "signed")
-    members = members_of(signed)
-    signed = materialize(signed.drop("keys"), "sets")
+    members = members_of(entries_of_documents(docs, n, percent))
+    signed = materialize(set_of_documents(docs, n), "sets")
     sizes = signed.filter("node is not null").groupBy("node").agg(F.min("n_shingles").alias("size"), F.min("doc_id").alias("_id"))
 
-    wanted = members.select("node").distinct().join(sizes, "node").select("node", "_id", "size")
-    found = wanted.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "size", "text")
+    wanted = _small(members.select("node").distinct().join(sizes, "node").select("node", "_id", "size"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "size", "text")
     texts = materialize(_right_texts(found, n), "texts")
     size = texts.select("node", "size")
 
@@ -373,13 +428,22 @@ def _right_texts(found: DataFrame, n: int) -> DataFrame:
     return found.mapInArrow(check, found.schema).dropDuplicates(["node"])
 
 
+def _small(frame: DataFrame) -> DataFrame:
+    """To be broadcast if it is small enough; else it is joined like any other."""
+    frame = materialize(frame, "small")
+    return F.broadcast(frame) if frame.count() <= MOST_BROADCAST else frame
+
+
 def keep_first(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id.
 
     Rows without n-grams or without a doc_id stay; of rows that repeat id and
     text one stays.
     """
-    judged = similar_documents(docs, n, percent)
-    kept = judged.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    judged = materialize(similar_documents(docs, n, percent), "judged")
+    out = docs.join(_small(judged.filter("doc_id <> component_id").select("doc_id").distinct()), "doc_id", "left_anti")
+    twice = _small(judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if not twice.isEmpty():
+        once = out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(twice, "doc_id", "left_anti").unionByName(once)
+    return out.select(*docs.columns)
