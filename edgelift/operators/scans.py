@@ -100,11 +100,18 @@ def refine(g: Graph, q: Query, rounds: int = 3) -> dict[int, DataFrame]:
             for v in q.neighbours(u):
                 near = candidate_scan(Graph(g.vertices, g.edges.filter((F.col("src_label") == q.labels[u]) & (F.col("dst_label") == q.labels[v]))), now[u], now[v])
                 kept = kept.join(near.select(F.col("src").alias("id")), "id", "left_semi")
-            nxt[u] = kept
+            nxt[u] = _cut(kept)
         now = nxt
     return now
 
 
+def _cut(frame: DataFrame) -> DataFrame:
+    """Ends a long plan: by a checkpoint in the cluster's folder, or in memory where there is none."""
+    if frame.sparkSession.sparkContext.getCheckpointDir():
+        return frame.checkpoint()
+    return frame.persist()
+
+
 def intersect_neighbours(g: Graph, pairs: DataFrame) -> DataFrame:
     """head, tail and their common neighbours as a sorted array and its size; pairs without any are left out."""
     near = g.edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("near"))
