@@ -24,6 +24,8 @@ from .common import materialize
 SAMPLE = 6000
 #: Words that a category's model takes at most, and labelled documents that must have one.
 WORDS, LEAST_DOCS = 200, 4
+#: Statistic that a word must reach; thousands are tried, so chance ones must stay out.
+LEAST_STATISTIC = 15.0
 #: Words of the sample that reach the driver: the best by the same statistic.
 CANDIDATES = 3000
 #: Ridges of the bins' weights, and of the words', which have to pass the statistic first.
@@ -124,7 +126,7 @@ def telling_words(texts: list[dict], y, most: int = WORDS, least: int = LEAST_DO
     cells = [(a, t * pos / n), (t - a, t * (n - pos) / n), (pos - a, (n - t) * pos / n), (n - pos - t + a, (n - t) * (n - pos) / n)]
     g = sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0) for o, e in cells)
     best = sorted(range(len(names)), key=lambda i: (-g[i], names[i]))[:most]
-    return [names[i] for i in best if g[i] > 5]
+    return [names[i] for i in best if g[i] > LEAST_STATISTIC]
 
 
 def newton(x, y, ridge, steps: int = 12):

@@ -397,11 +397,13 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     weight = members.groupBy("node").agg(F.count("*").alias("n"))
     weighed = members.join(weight, "node").select("key", F.struct("n", "node").alias("w"))
     central = weighed.groupBy("key").agg(F.max("w").alias("top"))
-    best = members.join(central, "key").groupBy("node").agg(F.max("top").alias("top")).select(F.col("node").alias("u"), F.col("top.node").alias("v")).filter("u <> v")
+    # buckets with the same centre mostly have the same members, so they are taken as one from here on
+    around = materialize(members.join(central, "key").select("top", "node").distinct(), "around")
+    best = around.groupBy("node").agg(F.max("top").alias("top")).select(F.col("node").alias("u"), F.col("top.node").alias("v")).filter("u <> v")
     tried = materialize(best, "pairs")
     links = materialize(verify(fits(tried), texts, n, percent), "links")
     label = materialize(components(links), "label")
-    placed = members.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = around.join(label, "node", "left").select(F.col("top.node").alias("key"), "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("held")).filter("a < b").select("key", "held")
     open_ = materialize(placed.join(split, "key"), "open")
     few, many = open_.filter(F.col("held") <= FEW), open_.filter(F.col("held") > FEW)

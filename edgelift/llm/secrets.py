@@ -30,6 +30,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]{16,}"
 #: Least mean log-likelihood ratio per transition, in nats.
 THRESHOLD = 0.75
+#: Weight of single characters in the models, in occurrences.
+BACKOFF = 20.0
 _BLOCK = 256
 _SPAN = "struct<at:int,stop:int,value:string,part:string>"
 
@@ -80,8 +82,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def train(scanned: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each pair of characters, random over ordinary, add-half smoothed.
+    """Log-likelihood ratio of each pair of characters, random over ordinary.
 
+    Pairs back off to single characters.  As a judged run is in the ordinary
+    sample itself, one occurrence of each pair is left out there.
     One row per pair of characters reaches the driver: at most the alphabet squared.
     """
     pairs = "transform(sequence(1, length(value) - 1), i -> substring(value, i, 2))"
@@ -89,9 +93,12 @@ def train(scanned: DataFrame) -> list[float]:
     known = F.translate("pair", ALPHABET, "") == ""
     counts = {(r["random"], r["pair"]): r["n"] for r in values.filter("length(value) > 1").select("random", F.explode(F.expr(pairs)).alias("pair")).filter(known).groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
     rate = []
-    for random in (1, 0):
-        from_ = {a: sum(counts.get((random, a + b), 0) for b in ALPHABET) for a in ALPHABET}
-        rate.append([math.log((counts.get((random, a + b), 0) + 0.5) / (from_[a] + 0.5 * len(ALPHABET))) for a in ALPHABET for b in ALPHABET])
+    for random, own in ((1, 0), (0, 1)):
+        pair = {(a, b): max(0, counts.get((random, a + b), 0) - own) for a in ALPHABET for b in ALPHABET}
+        after = {b: sum(pair[a, b] for a in ALPHABET) for b in ALPHABET}
+        total, before = sum(after.values()), {a: sum(pair[a, b] for b in ALPHABET) for a in ALPHABET}
+        single = {b: (after[b] + 0.5) / (total + 0.5 * len(ALPHABET)) for b in ALPHABET}
+        rate.append([math.log((pair[a, b] + BACKOFF * single[b]) / (before[a] + BACKOFF)) for a in ALPHABET for b in ALPHABET])
     return [x - y for x, y in zip(*rate, strict=True)]
 
 
