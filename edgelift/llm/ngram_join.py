@@ -45,8 +45,8 @@ COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 2000, 6, 20_000
 MOST_BROADCAST = 200_000
 #: Members up to which a bucket's pairs are listed, and members of a block beyond.
 FEW, BLOCK = 8, 1024
-#: Bits of the parity vector that bounds the difference of two sets from below.
-PARITY = 1024
+#: Most bits of the parity vector that bounds the difference of two sets from below.
+PARITY = 8192
 
 
 def words(text: str | None) -> list[bytes]:
@@ -317,14 +317,61 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "first", "second").mapInArrow(count, "u long, v long")
 
 
+def parity(grams, bits: int):
+    """One bit for each remainder of the hashes: odd or even.  Two sets differ at least as much as their vectors."""
+    import numpy as np
+
+    return np.packbits((np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def folded(vectors: list[bytes]):
+    """Parity vectors as rows of 64-bit words, all at the length of the shortest."""
+    import numpy as np
+
+    least = min(len(v) for v in vectors)
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, least)) for v in vectors]).view(np.uint64)
+
+
+def close_pairs(sizes, vectors, group, part, first: int, second: int, percent: int):
+    """(a, places b) of members of two blocks that sizes and parity vectors do not tell apart, by current group."""
+    import numpy as np
+
+    for a in np.flatnonzero(part == first):
+        can = (group != group[a]) & (part == second)
+        if first == second:
+            can[: a + 1] = False
+        can = np.flatnonzero(can & (100 * np.minimum(sizes, sizes[a]) >= percent * np.maximum(sizes, sizes[a])))
+        apart = np.bitwise_count(vectors[can] ^ vectors[a]).sum(1)
+        yield a, can[(100 + percent) * apart.astype(np.int64) <= (100 - percent) * (sizes[can] + sizes[a])]
+
+
+def _grouped(frame):
+    import numpy as np
+
+    component = frame["component"].tolist()
+    number = {c: i for i, c in enumerate(dict.fromkeys(component))}
+    return np.array([number[c] for c in component]), frame["part"].to_numpy(), frame["i"].iloc[0], frame["j"].iloc[0]
+
+
 def joining(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """u, v: likely links among the members (key, node, component, held) of large buckets that join components.
 
-    A bucket is dealt out as pairs of blocks.  Within one, pairs of different
-    components that the parity vectors do not tell apart are counted on their
-    hashes and united at once, so a block gives out fewer rows than it has members.
+    A bucket is dealt out as pairs of blocks.  First short parity vectors show
+    which members have a partner in another component at all; only these are
+    compared by their hashes, and what links is united at once, so a block
+    gives out fewer rows than it has members.
     """
 
+    def vectors(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                grams = hashed_ngrams(text.as_py(), n)
+                out.append(parity(grams, max(64, min(PARITY, 1 << (2 * len(grams) - 1).bit_length()))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["node", "size", "bits"])
+
     def hashes(batches):
         import numpy as np
         import pyarrow as pa
@@ -332,28 +379,27 @@ def joining(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed_ngrams(t.as_py(), n).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "grams"])
 
+    def partnered(frame):
+        import numpy as np
+
+        group, part, first, second = _grouped(frame)
+        alive = np.zeros(len(frame), bool)
+        for a, near in close_pairs(frame["size"].to_numpy(), folded(frame["bits"].tolist()), group, part, first, second, percent):
+            alive[near] = True
+            alive[a] |= len(near) > 0
+        return frame.loc[alive, ["key", "node"]]
+
     def unite(frame):
         import numpy as np
         import pandas as pd
 
         grams = [np.sort(g.view(np.uint64)) for g in frame["grams"]]
         size = np.array([len(g) for g in grams])
-        bits = np.zeros((len(grams), PARITY), np.uint8)
-        for row, g in zip(bits, grams, strict=True):
-            row[np.flatnonzero(np.bincount((g & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1)] = 1
-        packed = np.packbits(bits, axis=1).view(np.uint64)
-        node, component, part = frame["node"].to_numpy(), frame["component"].to_numpy(), frame["part"].to_numpy()
-        groups = {c: i for i, c in enumerate(dict.fromkeys(component.tolist()))}
-        group = np.array([groups[c] for c in component.tolist()])
-        first, second = frame["i"].iloc[0], frame["j"].iloc[0]
-        u, v = [], []
-        for a in np.flatnonzero(part == first):
-            can = (group != group[a]) & (part == second)
-            if first == second:
-                can[: a + 1] = False
-            can = np.flatnonzero(can & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])))
-            apart = np.bitwise_count(packed[can] ^ packed[a]).sum(1)
-            for b in can[(100 + percent) * apart <= (100 - percent) * (size[can] + size[a])]:
+        bits = folded([parity(g, PARITY).tobytes() for g in grams])
+        group, part, first, second = _grouped(frame)
+        node, u, v = frame["node"].to_numpy(), [], []
+        for a, near in close_pairs(size, bits, group, part, first, second, percent):
+            for b in near:
                 if group[a] != group[b]:
                     both = len(np.intersect1d(grams[a], grams[b], assume_unique=True))
                     if 100 * both >= percent * (size[a] + size[b] - both):
@@ -362,11 +408,15 @@ def joining(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                         group[group == group[b]] = group[a]
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    parts = F.ceil(F.col("held") / BLOCK).cast("int")
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", "node", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
-    rows = dealt.join(texts.select("node", "text").mapInArrow(hashes, "node long, grams array<long>"), "node")
-    return rows.groupBy("key", "i", "j").applyInPandas(unite, "u long, v long")
+    def dealt(rows: DataFrame, *columns: str):
+        parts = F.ceil(F.col("held") / BLOCK).cast("int")
+        out = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+        return out.select("key", "node", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), *columns).groupBy("key", "i", "j")
+
+    short = members.join(texts.select("node", "text", "size").mapInArrow(vectors, "node long, size long, bits binary"), "node")
+    alive = materialize(dealt(short, "size", "bits").applyInPandas(partnered, "key long, node long").distinct(), "alive")
+    left = members.join(alive, ["key", "node"])
+    return dealt(left.join(texts.select("node", "text").mapInArrow(hashes, "node long, grams array<long>"), "node"), "grams").applyInPandas(unite, "u long, v long")
 
 
 def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
