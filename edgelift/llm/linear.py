@@ -34,7 +34,7 @@ BIN_RIDGE, WORD_RIDGE = 1.0, 0.05
 STEMS = (4, 5, 6, 7)
 #: Quantiles of the dense features at which bins begin; junk is rare, so the tails are finer.
 QUANTILES = (0.01, 0.03, 0.1, 0.3, 0.5, 0.7, 0.85, 0.9, 0.93, 0.95, 0.97, 0.99)
-BINS = len(QUANTILES) + 1
+BINS = 2 * len(QUANTILES) + 1
 FOLDS = 5
 _WORD = re.compile(r"[^\W_]+").findall
 
@@ -144,12 +144,20 @@ def newton(x, y, ridge, steps: int = 12):
     return w
 
 
+def edges(values) -> list[float]:
+    """Where bins begin: the quantiles, and just above a value that several of them share, so that it has its own bin."""
+    import numpy as np
+
+    found, times = np.unique(np.quantile(values, QUANTILES), return_counts=True)
+    return sorted({*found.tolist(), *np.nextafter(found[times > 1], np.inf).tolist()})
+
+
 def fit(dense: list, texts: list[dict], y, extra=None) -> Model:
     """extra: one row of further inputs for each document."""
     import numpy as np
 
     values = np.array(dense, float)
-    model = Model([np.unique(np.quantile(values[:, i], QUANTILES)).tolist() for i in range(values.shape[1])])
+    model = Model([edges(values[:, i]) for i in range(values.shape[1])])
     model.words = {w: i for i, w in enumerate(telling_words(texts, y))}
     rows = np.array([model.row(d, t, () if extra is None else extra[i]) for i, (d, t) in enumerate(zip(dense, texts, strict=True))])
     shrunk = np.full(rows.shape[1], WORD_RIDGE)
