@@ -38,7 +38,7 @@ GROWTH = 4 / 3
 #: Cost of a set that must index an empty segment, in index entries.
 OVERFULL = 1000.0
 #: Sets that a task remembers, to index copies once.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Documents sampled for common n-grams, how many of them an n-gram must be in, and n-grams kept.
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 2000, 6, 20_000
 #: Rows of a few numbers each (about 24 bytes) up to which a table is broadcast.
@@ -120,7 +120,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = out = xxh3_64_intdigest(word)
         return out
@@ -158,7 +158,8 @@ def common_ngrams(docs: DataFrame, n: int):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([hashed_ngrams(t.as_py(), n).view(np.int64) for t in batch.column(0)], pa.list_(pa.int64()))], ["grams"])
 
-    sample = docs.select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(COMMON_SAMPLE).select("text")
+    chosen = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(COMMON_SAMPLE)  # so the broadcast has at most that many rows
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("text")
     counts = sample.mapInArrow(grams, "grams array<long>").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     found = counts.filter(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "gram").limit(COMMON_MOST).select("gram").collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
@@ -238,17 +239,18 @@ def entries_of_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
         seen = set()
         for batch in batches:
-            keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for text in batch.column(0):
-                grams = hashed_ngrams(text.as_py(), n)
-                node = node_of(grams)
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                if node not in seen:
-                    seen.add(node)
-                    keys.append(signatures(grams, percent, common).view(np.int64))
-                    nodes.append(np.full(len(keys[-1]), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+            for lo in range(0, batch.num_rows, 500):  # small parts, as a text has hundreds of entries
+                keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for text in batch.column(0).slice(lo, 500):
+                    grams = hashed_ngrams(text.as_py(), n)
+                    node = node_of(grams)
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    if node not in seen:
+                        seen.add(node)
+                        keys.append(signatures(grams, percent, common).view(np.int64))
+                        nodes.append(np.full(len(keys[-1]), node, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
     return docs.select("text").mapInArrow(sign, "key long, node long")
 
