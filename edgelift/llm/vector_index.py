@@ -4,8 +4,11 @@ A bounded sample is split by repeated k-means until every cluster is near its
 share; the centroids stay in memory with a neighbour graph, which a beam
 search walks.  Each vector joins the list of its nearest centroid and those
 nearly as near (boundary vectors are replicated); a query reads the lists whose
-centroids lie within a ratio of its nearest one.  One more coordinate turns
-inner products into distances.  Long lists are dealt out in blocks.
+centroids lie within a ratio of its nearest one, as many as a sample of the
+queries needs to find its true neighbours.  Where so many lists cost more than
+the whole table, as with vectors that form no groups, the table is one list and
+the answer is exact.  One more coordinate turns inner products into distances.
+Long lists are dealt out in blocks.
 
 Equal vectors are one class with its smallest ids only: as ties go to smaller
 ids, no other member can be among the nearest.
@@ -25,8 +28,12 @@ from .common import materialize
 SAMPLE, MOST_LISTS, LIST = 20_000, 4096, 192
 #: Replicas: at most so many, within this ratio of the nearest centroid's distance.
 REPLICAS, REPLICA_RATIO = 4, 1.15
-#: Probed lists: at least, at most, and within this ratio.
-LEAST_PROBES, MOST_PROBES, PROBE_RATIO = 8, 48, 1.4
+#: Probed lists: at least, and within this ratio.
+LEAST_PROBES, PROBE_RATIO = 8, 1.4
+#: Queries on which the number of probes is measured, and the recall they must reach (0.9 is due).
+TRIED, RECALL = 256, 0.95
+#: What a query's row in a list costs besides the list's vectors, in vectors compared.
+ROW = 2048
 #: Neighbours in the graph, beam width, entries.
 DEGREE, BEAM, ENTRIES = 24, 64, 64
 #: Rows of a posting block, and queries that meet it at once.
@@ -92,10 +99,14 @@ class Centroids:
         return cls(points.astype(np.float32), np.concatenate(near).astype(np.int32))
 
     def search(self, x, beam: int = BEAM):
-        """(ids, distances) of the nearest centroids of each row, nearest first, by beam search."""
+        """(ids, distances) of the ``beam`` nearest centroids of each row, nearest first; by beam search, or by all distances beyond its width."""
         import numpy as np
 
         n, x = len(self.points), x.astype(np.float32)
+        if beam > BEAM:
+            dist = distances(x, self.points)
+            ids = np.argsort(dist, 1)[:, :beam]
+            return ids, np.sqrt(np.take_along_axis(dist, ids, 1))
         beam = min(beam, n)
         entry = np.unique(np.linspace(0, n - 1, min(n, max(ENTRIES, beam))).astype(np.int64))
         ids = np.tile(entry, (len(x), 1))
@@ -127,8 +138,94 @@ def classes(vectors: DataFrame, vector: str, keep: int) -> DataFrame:
     return vectors.withColumn("_n", place).filter(F.col("_n") <= keep).groupBy(vector).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def _lists(frame: DataFrame, centroids: Centroids, top: float, query: bool) -> DataFrame:
-    """``frame`` (ids, vector, ...) with a row for each list it belongs to or reads."""
+def lift_queries(x, top: float):
+    """Queries at the length ``top``, with nothing in the coordinate that ``lift`` adds."""
+    import numpy as np
+
+    return np.concatenate([x * (top / np.sqrt((x * x).sum(1)))[:, None], np.zeros((len(x), 1))], 1)
+
+
+def replicas(centroids: Centroids, ids, dist):
+    """Which of the centroids found for each vector hold it."""
+    import numpy as np
+
+    take = np.zeros(ids.shape, bool)
+    take[:, 0] = True
+    for j in range(1, ids.shape[1]):
+        new = (dist[:, j] <= REPLICA_RATIO * dist[:, 0]) & (take.sum(1) < REPLICAS)
+        if not new.any():
+            break
+        for i in range(j):  # not towards a centroid that lies behind a chosen one
+            apart = ((centroids.points[ids[:, j]] - centroids.points[ids[:, i]]) ** 2).sum(1)
+            new &= ~take[:, i] | (apart > dist[:, j] ** 2 * 0.5)
+        take[:, j] = new
+    return take
+
+
+def within(dist, probes: int, ratio: float | None):
+    """Which of the centroids found for each query, nearest first, are read."""
+    import numpy as np
+
+    width = np.arange(dist.shape[1])
+    near = dist <= ratio * dist[:, :1] if ratio else np.ones(dist.shape, bool)
+    return (width < LEAST_PROBES) | ((width < probes) & near)
+
+
+def true_neighbours(vectors: DataFrame, queries, k: int) -> list:
+    """For each row of ``queries`` its ``k`` nearest of the distinct ``vector`` (at most), other than itself, by comparing all."""
+    import numpy as np
+
+    def scan(batches):
+        import pyarrow as pa
+
+        held = scores = None
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), float)
+            if not len(x):
+                continue
+            rough = queries @ x.T
+            near = np.argpartition(-rough, min(k, len(x) - 1), 1)[:, : k + 1]
+            more, score = x[near], np.take_along_axis(rough, near, 1)
+            held, scores = (more, score) if held is None else (np.concatenate([held, more], 1), np.concatenate([scores, score], 1))
+            best = np.argsort(-scores, 1)[:, : k + 1]
+            held, scores = np.take_along_axis(held, best[:, :, None], 1), np.take_along_axis(scores, best, 1)
+        if held is not None:
+            of = np.repeat(np.arange(len(queries)), scores.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(scores.ravel()), pa.array(list(held.reshape(len(of), -1)), pa.list_(pa.float64()))], ["q", "score", "vector"])
+
+    found = vectors.select("vector").mapInArrow(scan, "q int, score double, vector array<double>")
+    few = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("n") <= k + 1)
+    out: list[list] = [[] for _ in queries]
+    for q, x in few.orderBy("q", "n").select("q", "vector").toPandas().itertuples(index=False):
+        if not np.array_equal(x, queries[q]) and len(out[q]) < k:
+            out[q].append(x)
+    return out
+
+
+def plan(centroids: Centroids, queries, wanted: list, top: float, n: int) -> tuple[int, float | None] | None:
+    """Probes and ratio with which ``queries`` find RECALL of the ``wanted`` neighbours; none where comparing all ``n`` vectors costs less."""
+    import numpy as np
+
+    of = np.repeat(np.arange(len(queries)), [len(w) for w in wanted])
+    if not len(of):
+        return None
+    ids, dist = centroids.search(lift(np.array([x for w in wanted for x in w]), top))
+    holds = replicas(centroids, ids, dist)
+    lists, asked = len(centroids.points), lift_queries(queries, top)
+    for width, ratio in ((BEAM, PROBE_RATIO), (lists, PROBE_RATIO), (lists, None)):
+        found, dist = centroids.search(asked, max(BEAM, width))
+        rank = np.full((len(queries), lists), lists)
+        np.put_along_axis(rank, found, np.where(within(dist, lists, ratio), np.arange(found.shape[1])[None], lists), 1)
+        first = np.sort(np.where(holds, rank[of[:, None], ids], lists).min(1))
+        probes = max(LEAST_PROBES, int(first[math.ceil(RECALL * len(first)) - 1]) + 1)
+        if probes <= lists:
+            break
+    read = min(probes, lists) * (n / lists * holds.sum() / len(holds) + ROW)
+    return (probes, ratio) if read < n + math.ceil(n / BLOCK) * ROW else None
+
+
+def _lists(frame: DataFrame, centroids: Centroids, top: float, probes: tuple[int, float | None] | None = None) -> DataFrame:
+    """``frame`` (ids, vector, ...) with a row for each list it belongs to or, as a query with so many ``probes`` in a ratio, reads."""
 
     def deal(batches):
         import numpy as np
@@ -138,25 +235,12 @@ def _lists(frame: DataFrame, centroids: Centroids, top: float, query: bool) -> D
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 x = np.array(part.column("vector").to_pylist(), float)
-                if query:
-                    lifted = np.concatenate([x * (top / np.sqrt((x * x).sum(1)))[:, None], np.zeros((len(x), 1))], 1)
+                if probes:
+                    ids, dist = centroids.search(lift_queries(x, top), max(BEAM, probes[0]))
+                    take = within(dist, *probes)
                 else:
-                    lifted = lift(x, top)
-                ids, dist = centroids.search(lifted)
-                if query:
-                    width = np.arange(ids.shape[1])
-                    take = (width < LEAST_PROBES) | ((width < MOST_PROBES) & (dist <= PROBE_RATIO * dist[:, :1]))
-                else:
-                    take = np.zeros(ids.shape, bool)
-                    take[:, 0] = True
-                    for j in range(1, ids.shape[1]):
-                        new = (dist[:, j] <= REPLICA_RATIO * dist[:, 0]) & (take.sum(1) < REPLICAS)
-                        if not new.any():
-                            break
-                        for i in range(j):  # not towards a centroid that lies behind a chosen one
-                            apart = ((centroids.points[ids[:, j]] - centroids.points[ids[:, i]]) ** 2).sum(1)
-                            new &= ~take[:, i] | (apart > dist[:, j] ** 2 * 0.5)
-                        take[:, j] = new
+                    ids, dist = centroids.search(lift(x, top))
+                    take = replicas(centroids, ids, dist)
                 rows, at = np.nonzero(take)
                 taken = part.take(pa.array(rows))
                 yield taken.append_column("list", pa.array(ids[rows, at], pa.int32()))
@@ -192,8 +276,17 @@ def nearest(vectors: DataFrame, query_filter: str, k: int = 20, vector: str = "e
     lists = min(MOST_LISTS, max(1, math.ceil(n / LIST)))
     centroids = Centroids.build(balanced_centroids(lift(np.array(chosen.tolist(), float), top), lists))
 
-    posts = materialize(_lists(distinct, centroids, top, False), "posts")
-    probes = materialize(_lists(classes(asked, "vector", 1).select("vector", F.col("ids")[0].alias("query")), centroids, top, True), "probes")
+    queries = classes(asked, "vector", 1).select("vector", F.col("ids")[0].alias("query"))
+    # by another hash than the vectors of the fit
+    tried = np.array(queries.select("vector").orderBy(F.xxhash64(F.lit(1), "vector"), "vector").limit(TRIED).toPandas()["vector"].tolist(), float)
+    if not len(tried):
+        return empty
+    planned = plan(centroids, tried, true_neighbours(distinct, tried, k), top, n)
+    if planned:
+        posts = materialize(_lists(distinct, centroids, top), "posts")
+        probes = materialize(_lists(queries, centroids, top, planned), "probes")
+    else:
+        posts, probes = (frame.withColumn("list", F.lit(0)) for frame in (distinct, materialize(queries, "probes")))
     # one row a list: at most MOST_LISTS and a few
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     sizes = F.broadcast(blocks(posts, "post_blocks").join(blocks(probes, "probe_blocks"), "list"))

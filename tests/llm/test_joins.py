@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -192,3 +193,26 @@ def test_vectors(spark):
     few = spark.createDataFrame(data[:5], "vec_id long, embedding array<float>")
     assert vector_index.nearest(few, "vec_id = 0").count() == 4
     assert vector_index.nearest(few.limit(0), "true").count() == 0
+
+
+@pytest.mark.parametrize(("groups", "row"), [(0, 0), (0, vector_index.ROW), (400, vector_index.ROW)])
+def test_vectors_of_many_lists(spark, monkeypatch, groups, row):
+    monkeypatch.setattr(vector_index, "ROW", row)  # 0: lists are read wherever they hold less than the table
+    plans, plan = [], vector_index.plan
+    monkeypatch.setattr(vector_index, "plan", lambda *a: plans.append(plan(*a)) or plans[-1])
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40_000, 64))
+    if groups:
+        x = rng.normal(size=(groups, 64))[rng.integers(0, groups, len(x))] + 0.2 * x
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = vector_index.nearest(table, "vec_id % 400 = 0", 20).toPandas().groupby("query_id")["vec_id"].apply(set)
+    scores = x[::400] @ x.T
+    scores[np.arange(100), np.arange(0, 40_000, 400)] = -np.inf
+    wanted = np.argpartition(-scores, 20, 1)[:, :20]
+    recall = np.mean([len(got[400 * i] & set(w.tolist())) / 20 for i, w in enumerate(wanted)])
+    assert recall >= 0.9
+    if not plans[0]:
+        assert row and not groups and recall == 1.0
+    else:
+        assert groups or plans[0][0] > 48
