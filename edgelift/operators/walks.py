@@ -159,14 +159,14 @@ def weighted_draw(pairs: DataFrame, weight: str, samples: int, seed: int = 0) ->
 
 
 def endpoint_weights(g: Graph, q: Query, edge_no: int, side: int, samples: int, seed: int) -> DataFrame:
-    """head (or tail) and n, the estimated matches of its part, by walks from the end."""
+    """head (or tail) and n, the estimated matches of its part, by walks from the end; rounded up, so that no end that a walk reached is lost."""
     b, t = q.edges[edge_no]
     end, new = ((b, "head"), (t, "tail"))[side]
     order = rwd_order(q, edge_no)
     part = next(p for p in components(q.without(edge_no)) if end in p)
     own = [u for u in order if u in part]
     found = walk(started(g.edges.sparkSession, samples, seed + side), g, q.without(edge_no), own, -1, -1)
-    return found.groupBy(F.col(name(end)).alias(new)).agg(F.expr(f"sum(w) div {int(samples)}").alias("n")).filter("n > 0")
+    return found.groupBy(F.col(name(end)).alias(new)).agg(F.expr(f"(sum(w) + {int(samples) - 1}) div {int(samples)}").alias("n"))
 
 
 def rwdw(g: Graph, q: Query, edge_no: int, k: int | None = None, samples: int = 20_000, seed: int = 0, min_success: int = 1, ends: int = BEST_ENDS, best: int = BEST_PAIRS) -> DataFrame:

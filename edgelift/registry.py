@@ -183,7 +183,7 @@ _TRI = "t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges
 register("triangle_support", "cop", f"SELECT u, v, {LONG} AS support FROM (SELECT a AS u, b AS v FROM t UNION ALL SELECT a, c FROM t UNION ALL SELECT b, c FROM t) GROUP BY 1, 2", _TRI)(dense.triangle_support)
 register("four_clique_count", "cop", f"SELECT a, b, c, {LONG} AS n FROM (SELECT unnest([{{'a': q.a, 'b': q.b, 'c': q.c}}, {{'a': q.a, 'b': q.b, 'c': q.d}}, {{'a': q.a, 'b': q.c, 'c': q.d}}, {{'a': q.b, 'b': q.c, 'c': q.d}}], recursive := true) FROM (SELECT x.a, x.b, x.c, y.c AS d FROM t x JOIN t y ON x.a = y.a AND x.b = y.b AND x.c < y.c JOIN edges e ON e.src = x.c AND e.dst = y.c) q) GROUP BY 1, 2, 3", _TRI)(dense.four_clique_counts)
 register("two_core_data", "cop")(lambda g: dense.k_core(g, 2))
-register("truss_data", "het")(lambda g: dense.k_truss(g, 1))
+register("truss_data", "cop")(lambda g: dense.k_truss(g, 1))
 
 # sums over all edges, checks of estimates
 _ALL = " UNION ALL ".join(f"({oracle.growth(T('tri'), i)})" for i in range(3))

@@ -5,9 +5,9 @@ from itertools import combinations, permutations
 
 import pytest
 
-from edgelift import api
+from edgelift import api, registry
 from edgelift.model import Graph, Query
-from edgelift.operators import growth, matching
+from edgelift.operators import dense, growth, matching, walks
 from edgelift.plans.order import all_orders
 from edgelift.plans.query_graph import components
 
@@ -100,3 +100,51 @@ def test_front_door(spark):
 def test_empty_label_pair_gives_an_empty_answer(spark):
     g = Graph.in_memory(spark, {0: 0, 1: 1}, [(0, 1)])
     assert growth.joint(g, Query("none", (5, 6, 5), ((0, 1), (1, 2), (0, 2))), 0).count() == 0
+
+
+def brute_core(pairs, k):
+    while True:
+        near = {}
+        for u, v in pairs:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+        left = [(u, v) for u, v in pairs if min(len(near[u]), len(near[v])) >= k]
+        if len(left) == len(pairs):
+            return set(near)
+        pairs = left
+
+
+def brute_truss(pairs, k):
+    while True:
+        near = {}
+        for u, v in pairs:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+        left = [(u, v) for u, v in pairs if len(near[u] & near[v]) >= k]
+        if len(left) == len(pairs):
+            return set(pairs)
+        pairs = left
+
+
+def test_cores_and_trusses(spark):
+    labels, pairs = data(11, 12)
+    # a square and a pendant chain, in no triangle, and two triangles on one edge, whose other edges are on one
+    pairs = [*pairs, (12, 13), (13, 14), (14, 15), (12, 15), (15, 16), (16, 17), (18, 19), (18, 20), (19, 20), (18, 21), (19, 21)]
+    g = Graph.in_memory(spark, labels | {i: 0 for i in range(12, 22)}, pairs).persist()
+    assert brute_truss(pairs, 1) < set(pairs) and brute_truss(pairs, 2) and brute_truss(pairs, 2) < brute_truss(pairs, 1)
+    for k in (1, 2, 3):
+        assert sorted(map(tuple, dense.k_truss(g, k).select("u", "v").collect())) == sorted(brute_truss(pairs, k))
+        assert sorted(r["id"] for r in dense.k_core(g, k).collect()) == sorted(brute_core(pairs, k))
+
+
+def test_truss_query_has_work(spark):
+    assert registry.queries()["truss_data"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_rwdw_estimates(spark):
+    labels, pairs = data(4)
+    g = Graph.in_memory(spark, labels, pairs).persist()
+    wanted = brute(labels, pairs, SHAPES[1], 1)
+    got = found(walks.rwdw(g, SHAPES[1], 1, samples=20_000))
+    assert wanted and set(got) == set(wanted)
+    assert all(abs(got[p] - n) <= 1 + 0.15 * n for p, n in wanted.items())
