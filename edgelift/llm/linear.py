@@ -2,18 +2,24 @@
 
 Features of a text: shares of character classes and of repeated words, each
 put into bins at fixed quantiles, and presence of the words that tell the
-classes apart best (log-likelihood ratio statistic).  The fit is ridge
-logistic regression by Newton's method on the driver, over at most ``SAMPLE``
-labelled documents and ``WORDS`` words a category; scoring runs everywhere.
-A word's beginnings count too, with their density, so that inflected forms
-share weight.
+classes apart best (log-likelihood ratio statistic).  A word's beginnings
+count too, with their density, so that inflected forms share weight.
+
+The sample's words are counted on the cluster; what reaches the driver is one
+Arrow table of at most ``SAMPLE`` rows, with pairs of numbers for those of the
+``CANDIDATES`` best words that a text holds.  The fit is ridge logistic
+regression by Newton's method over at most ``WORDS`` words a category; its
+matrix holds 32-bit floats and its Hessian is summed by blocks of rows, so the
+driver needs some 50 MB for it.  Scoring runs everywhere.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +42,8 @@ STEMS = (4, 5, 6, 7)
 QUANTILES = (0.01, 0.03, 0.1, 0.3, 0.5, 0.7, 0.85, 0.9, 0.93, 0.95, 0.97, 0.99)
 BINS = 2 * len(QUANTILES) + 1
 FOLDS = 5
+#: Rows whose part of the Hessian is summed at once; words whose forms a worker remembers.
+ROWS, MEMO = 1000, 200_000
 _WORD = re.compile(r"[^\W_]+").findall
 
 
@@ -45,88 +53,143 @@ def describe(text: str | None) -> tuple[list[float], Counter]:
 
     text = text or ""
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
-    size = max(1, int(raw.sum()))
-    words = Counter(_WORD(text.lower()))
-    n = max(1, sum(words.values()))
-    letters = int(raw[65:91].sum() + raw[97:123].sum() + raw[128:].sum())
-    blank = int(raw[32] + raw[9:14].sum())
-    digits = int(raw[48:58].sum())
-    dense = [
-        np.log1p(n),
-        raw[65:91].sum() / max(1, letters),
+    upto = [0, *np.cumsum(raw).tolist()]
+    many = lambda a, b: upto[b] - upto[a]
+    size = max(1, upto[-1])
+    found = _WORD(text.lower())
+    words, n = Counter(found), max(1, len(found))
+    letters = many(65, 91) + many(97, 123) + many(128, 256)
+    blank = many(32, 33) + many(9, 14)
+    digits = many(48, 58)
+    return [
+        math.log1p(n),
+        many(65, 91) / max(1, letters),
         digits / size,
         (size - letters - blank - digits) / size,
-        raw[124] / n,
-        raw[33] / n,
-        (raw[35] + raw[36] + raw[37] + raw[38] + raw[42]) / n,
-        (raw[46] + raw[44]) / n,
-        raw[10] / n,
+        many(124, 125) / n,
+        many(33, 34) / n,
+        (many(35, 39) + many(42, 43)) / n,
+        (many(46, 47) + many(44, 45)) / n,
+        many(10, 11) / n,
         letters / n,
         len(words) / n,
         max(words.values(), default=0) / n,
-    ]
-    return [float(x) for x in dense], words
+    ], words
 
 
-def with_stems(words: Counter) -> dict[str, float]:
-    """Words and beginnings (``begi*``) with their counts for each hundred words."""
-    out = Counter(words)
+def forms(word: str) -> tuple[str, ...]:
+    """The word and its beginnings (``begi*``)."""
+    return (word, *(word[:k] + "*" for k in STEMS if len(word) > k))
+
+
+def shares(words: Counter, of) -> dict[str, float]:
+    """Counts, for each hundred words, of the forms that ``of`` gives for each word."""
+    out: dict[str, float] = {}
+    one = 100 / max(1, words.total())
     for w, c in words.items():
-        for k in STEMS:
-            if len(w) > k:
-                out[w[:k] + "*"] += c
-    share = 100 / max(1, sum(words.values()))
-    return {w: c * share for w, c in out.items()}
+        for f in of(w):
+            out[f] = out.get(f, 0.0) + c * one
+    return out
+
+
+class Known(dict):
+    """Maps a word to those of its forms that some model has."""
+
+    def __init__(self, wanted):
+        self.wanted = wanted
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) > MEMO:
+            self.clear()
+        self[word] = out = tuple(f for f in forms(word) if f in self.wanted)
+        return out
 
 
 @dataclass
-class Model:
-    """One logistic model: bin edges, words and one weight each; extra inputs come last."""
+class Sample:
+    """Labelled documents in ascending doc_id order, their words as (row, word, share) triples."""
 
-    edges: list = field(default_factory=list)
-    words: dict[str, int] = field(default_factory=dict)
-    weights: object = None
+    ids: object
+    labels: list
+    dense: object
+    names: list[str]
+    row: object
+    word: object
+    share: object
 
-    def row(self, dense: list[float], words: dict[str, float], extra=()):
-        """words: densities of words and beginnings, those of the model at least."""
+    def part(self, mask) -> Sample:
         import numpy as np
 
-        x = np.zeros(1 + len(dense) * BINS + 2 * len(self.words) + len(extra))
-        x[0] = 1
+        keep = mask[self.row]
+        return Sample(self.ids[mask], [y[mask] for y in self.labels], self.dense[mask], self.names, (np.cumsum(mask) - 1)[self.row[keep]], self.word[keep], self.share[keep])
+
+
+@dataclass
+class Model:
+    """One logistic model: bin edges, names of its words by number, weights by column; extra inputs come last."""
+
+    edges: list
+    words: dict[str, int]
+    weights: list[float]
+
+    def logit(self, dense: list[float], found: dict[str, float], extra=()) -> float:
+        """found: shares of the forms in a text, those of the model at least."""
+        w = self.weights
+        total = w[0]
         for i, (value, edge) in enumerate(zip(dense, self.edges, strict=True)):
-            x[1 + i * BINS + int(np.searchsorted(edge, value, "right"))] = 1
+            total += w[1 + i * BINS + bisect_right(edge, value)]
         at = 1 + len(dense) * BINS
-        for w in self.words.keys() & words.keys():
-            x[at + 2 * self.words[w]] = 1
-            if w[-1] == "*":  # anyone's texts have a few such forms, so their density counts
-                x[at + 2 * self.words[w] + 1] = np.log1p(words[w])
-        if len(extra):
-            x[-len(extra) :] = extra
-        return x
+        for f, share in found.items():
+            k = self.words.get(f)
+            if k is not None:
+                total += w[at + 2 * k]
+                if f[-1] == "*":  # anyone's texts have a few such forms, so their density counts
+                    total += w[at + 2 * k + 1] * math.log1p(share)
+        return total + sum(a * b for a, b in zip(w[len(w) - len(extra) :], extra, strict=True))
+
+
+def design(edges: list, words: list[int], sample: Sample, extra):
+    """The matrix of a model's inputs; words: places in the sample's names."""
+    import numpy as np
+
+    n, d = sample.dense.shape
+    at = 1 + d * BINS
+    x = np.zeros((n, at + 2 * len(words) + extra.shape[1]), np.float32)
+    x[:, 0] = 1
+    for i in range(d):
+        x[np.arange(n), 1 + i * BINS + np.searchsorted(edges[i], sample.dense[:, i], "right")] = 1
+    place = np.full(len(sample.names) + 1, -1)
+    place[words] = np.arange(len(words))
+    column = place[sample.word]
+    hit = column >= 0
+    x[sample.row[hit], at + 2 * column[hit]] = 1
+    hit &= np.array([name.endswith("*") for name in sample.names] + [False])[sample.word]
+    x[sample.row[hit], at + 2 * column[hit] + 1] = np.log1p(sample.share[hit])
+    x[:, x.shape[1] - extra.shape[1] :] = extra
+    return x
+
+
+def statistic(hit, total, positives: float, n: float):
+    """G statistic of the 2x2 tables of words that ``total`` of ``n`` texts have, ``hit`` of the ``positives``."""
+    import numpy as np
 
-    def logit(self, dense, words, extra=()) -> float:
-        return float(self.row(dense, words, extra) @ self.weights)
+    a, t, rest = hit.astype(float), total.astype(float), n - positives
+    cells = [(a, t * positives / n), (t - a, t * rest / n), (positives - a, (n - t) * positives / n), (rest - t + a, (n - t) * rest / n)]
+    return sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0) for o, e in cells)
 
 
-def telling_words(texts: list[dict], y, most: int = WORDS, least: int = LEAST_DOCS) -> list[str]:
-    """The words whose presence tells y best, by the G statistic of their 2x2 table."""
+def telling_words(sample: Sample, y, most: int = WORDS, least: int = LEAST_DOCS) -> list[int]:
+    """The words whose presence tells y best, best first and ties by name."""
     import numpy as np
 
-    total, hit = Counter(), Counter()
-    for words, label in zip(texts, y, strict=True):
-        total.update(words)
-        if label:
-            hit.update(words)
-    names = sorted(w for w, n in total.items() if n >= least)
-    if not names or not 0 < sum(y) < len(y):
+    positives, n = float(y.sum()), len(y)
+    if not 0 < positives < n:
         return []
-    n, pos = len(y), sum(y)
-    a = np.array([hit[w] for w in names], float)
-    t = np.array([total[w] for w in names], float)
-    cells = [(a, t * pos / n), (t - a, t * (n - pos) / n), (pos - a, (n - t) * pos / n), (n - pos - t + a, (n - t) * (n - pos) / n)]
-    g = sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0) for o, e in cells)
-    best = sorted(range(len(names)), key=lambda i: (-g[i], names[i]))[:most]
-    return [names[i] for i in best if g[i] > LEAST_STATISTIC]
+    total = np.bincount(sample.word, minlength=len(sample.names))
+    hit = np.bincount(sample.word[y[sample.row] == 1], minlength=len(sample.names))
+    g = statistic(hit, total, positives, n)
+    good = [i for i in np.flatnonzero((total >= least) & (g > LEAST_STATISTIC)).tolist()]
+    return sorted(good, key=lambda i: (-g[i], sample.names[i]))[:most]
 
 
 def newton(x, y, ridge, steps: int = 12):
@@ -134,17 +197,21 @@ def newton(x, y, ridge, steps: int = 12):
     import numpy as np
 
     w = np.zeros(x.shape[1])
-    keep = np.asarray(ridge, float)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
+        slope, bend = -ridge * w, np.diag(ridge)
+        for i in range(0, len(x), ROWS):
+            part = x[i : i + ROWS]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope += part.T @ (y[i : i + ROWS] - p)
+            bend += (part * (p * (1 - p) + 1e-9)[:, None].astype(np.float32)).T @ part
+        step = np.linalg.solve(bend, slope)
         w = w + step
         if np.abs(step).max() < 1e-4:
             break
     return w
 
 
-def edges(values) -> list[float]:
+def edges_of(values) -> list[float]:
     """Where bins begin: the quantiles, and just above a value that several of them share, so that it has its own bin."""
     import numpy as np
 
@@ -152,24 +219,42 @@ def edges(values) -> list[float]:
     return sorted({*found.tolist(), *np.nextafter(found[times > 1], np.inf).tolist()})
 
 
-def fit(dense: list, texts: list[dict], y, extra=None) -> Model:
-    """extra: one row of further inputs for each document."""
+def fit(sample: Sample, y, extra=None, held: tuple | None = None):
+    """The model of the labels y; extra: one row of further inputs for each document.
+
+    held: another sample and its extra inputs, whose log-odds are returned instead.
+    """
     import numpy as np
 
-    values = np.array(dense, float)
-    model = Model([edges(values[:, i]) for i in range(values.shape[1])])
-    model.words = {w: i for i, w in enumerate(telling_words(texts, y))}
-    rows = np.array([model.row(d, t, () if extra is None else extra[i]) for i, (d, t) in enumerate(zip(dense, texts, strict=True))])
-    shrunk = np.full(rows.shape[1], WORD_RIDGE)
-    shrunk[0], shrunk[1 : 1 + values.shape[1] * BINS] = 1e-6, BIN_RIDGE
-    model.weights = newton(rows, np.array(y, float), shrunk)
-    return model
+    extra = np.zeros((len(y), 0)) if extra is None else extra
+    edges = [edges_of(sample.dense[:, i]) for i in range(sample.dense.shape[1])]
+    words = telling_words(sample, y)
+    x = design(edges, words, sample, extra)
+    ridge = np.full(x.shape[1], WORD_RIDGE)
+    ridge[0], ridge[1 : 1 + len(edges) * BINS] = 1e-6, BIN_RIDGE
+    weights = newton(x, y.astype(float), ridge)
+    if held:
+        return design(edges, words, *held) @ weights
+    return Model(edges, {sample.names[k]: i for i, k in enumerate(words)}, weights.tolist())
+
+
+def chance(z: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def inputs(text: str | None) -> tuple[list[float], dict[str, float]]:
-    """Dense features and densities of a text, as a model takes them."""
-    dense, words = describe(text)
-    return dense, with_stems(words)
+class Scorer:
+    """Log-odds of a text by models of which each sees the probabilities of those before it."""
+
+    def __init__(self, models: list[Model]):
+        self.models, self.known = models, Known(set().union(*(m.words for m in models)))
+
+    def logits(self, text: str | None) -> list[float]:
+        dense, words = describe(text)
+        found = shares(words, self.known.__getitem__)
+        out: list[float] = []
+        for model in self.models:
+            out.append(model.logit(dense, found, [chance(z) for z in out] if len(self.models) > 1 else ()))
+        return out
 
 
 @dataclass
@@ -179,83 +264,75 @@ class Chain:
     names: list[str]
     models: list[Model]
 
-    def probabilities(self, dense, words) -> list[float]:
-        import math
 
-        out: list[float] = []
-        for model in self.models:
-            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, model.logit(dense, words, out))))))
-        return out
-
-
-def fit_chain(names: list[str], dense: list, texts: list[dict], labels: list[list[int]], folds: list[int]) -> Chain:
-    """labels: one list a category.  Later models are trained on out-of-fold probabilities of the earlier ones."""
+def fit_chain(names: list[str], sample: Sample, folds) -> Chain:
+    """Later models are trained on out-of-fold probabilities of the earlier ones; folds: a fold for each document."""
     import numpy as np
 
-    n, models, extra = len(dense), [], np.zeros((len(dense), 0))
-    for k, y in enumerate(labels):
-        models.append(fit(dense, texts, y, extra if k else None))
-        if k == len(labels) - 1:
+    models, extra = [], np.zeros((len(sample.ids), 0))
+    for k, y in enumerate(sample.labels):
+        models.append(fit(sample, y, extra))
+        if k == len(names) - 1:
             break
-        held = np.zeros(n)
+        z = np.zeros(len(y))
         for fold in range(FOLDS):
-            inside, outside = [i for i in range(n) if folds[i] != fold], [i for i in range(n) if folds[i] == fold]
-            if not inside or not outside:
-                continue
-            part = fit([dense[i] for i in inside], [texts[i] for i in inside], [y[i] for i in inside], extra[inside] if k else None)
-            for i in outside:
-                held[i] = part.logit(dense[i], texts[i], extra[i] if k else ())
-        extra = np.hstack([extra, 1 / (1 + np.exp(-np.clip(held, -30, 30)))[:, None]])
+            out = folds == fold
+            if out.any() and not out.all():
+                z[out] = fit(sample.part(~out), y[~out], extra[~out], (sample.part(out), extra[out]))
+        extra = np.hstack([extra, 1 / (1 + np.exp(-np.clip(z, -30, 30)))[:, None]])
     return Chain(names, models)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], sample: int = SAMPLE):
-    """(doc_ids, dense, words, labels by category) of at most ``sample`` labelled documents.
+def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], sample: int = SAMPLE) -> Sample | None:
+    """At most ``sample`` documents that are labelled; None without any.
 
     Labelled rows with a null id or a null label in ``names`` take no part; of
-    several rows of one id the greatest labels count.
+    several labels of one id the greatest count, of several documents the one
+    whose text has the smallest hash.
     """
-    known = labels.filter(" AND ".join(f"{c} IS NOT NULL" for c in ["doc_id", *names])).groupBy("doc_id").agg(*(F.max(F.col(c).cast("int")).alias(f"_{c}") for c in names))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so the broadcast has at most that many rows
+    import numpy as np
+
+    marks = [f"_{c}" for c in names]
+    known = labels.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in ["doc_id", *names])).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*(F.max(F.col(c).cast("int")).alias(m) for c, m in zip(names, marks, strict=True)))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # so the broadcast has at most that many rows
+    chosen = known.join(own.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = own.join(F.broadcast(materialize(chosen, "chosen")), "doc_id").groupBy("doc_id", *marks).agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
 
     def features(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [(dense, with_stems(words)) for dense, words in map(describe, batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([d for d, _ in found], pa.list_(pa.float64())), pa.array([list(w) for _, w in found], pa.list_(pa.string())), pa.array([list(w.values()) for _, w in found], pa.list_(pa.float64()))], [*batch.schema.names[1:], "dense", "words", "shares"])
+            found = [(dense, shares(words, forms)) for dense, words in map(describe, batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([d for d, _ in found], pa.list_(pa.float64())), pa.array([list(w) for _, w in found], pa.list_(pa.string())), pa.array([list(w.values()) for _, w in found], pa.list_(pa.float32()))], [*batch.schema.names[1:], "dense", "words", "shares"])
 
-    marks = [f"_{c}" for c in names]
-    rows = docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").select("text", F.col("doc_id").cast("long").alias("doc_id"), *marks)
-    got = materialize(rows.mapInArrow(features, "doc_id long, " + ", ".join(f"{c} int" for c in marks) + ", dense array<double>, words array<string>, shares array<double>"), "sample")
+    ddl = "doc_id long, " + ", ".join(f"`{c}` int" for c in marks) + ", dense array<double>"
+    got = materialize(rows.select("text", "doc_id", *marks).mapInArrow(features, ddl + ", words array<string>, shares array<float>"), "sample")
     size = got.agg(F.count("*"), *(F.sum(c) for c in marks)).first()
+    if not size[0]:
+        return None
     counts = got.select(*marks, F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in marks)).filter(F.col("n") >= LEAST_DOCS)
     scores = [_statistic(F.col(c), F.col("n"), size[1 + k], size[0]) for k, c in enumerate(marks)]
     best = counts.select("word", (F.greatest(*scores) if len(scores) > 1 else scores[0]).alias("g")).orderBy(F.desc("g"), "word").limit(CANDIDATES)
-    wanted = {r["word"] for r in best.collect()}
+    wanted = sorted(r["word"] for r in best.collect())
+    number = {w: i for i, w in enumerate(wanted)}
 
     def narrow(batches):
         import pyarrow as pa
 
         at = len(marks) + 2
         for batch in batches:
-            kept = [[(w, x) for w, x in zip(*pair, strict=True) if w in wanted] for pair in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([[w for w, _ in x] for x in kept], pa.list_(pa.string())), pa.array([[x for _, x in k] for k in kept], pa.list_(pa.float64()))], batch.schema.names)
+            kept = [[(number[w], x) for w, x in zip(*pair, strict=True) if w in number] for pair in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([[w for w, _ in x] for x in kept], pa.list_(pa.int32())), pa.array([[x for _, x in k] for k in kept], pa.list_(pa.float32()))], batch.schema.names)
 
-    ids, dense, texts, out = [], [], [], [[] for _ in names]
-    for r in sorted(got.mapInArrow(narrow, got.schema).collect(), key=lambda r: (r["doc_id"], r["dense"])):
-        if r["doc_id"] in ids[-1:]:
-            continue
-        ids.append(r["doc_id"])
-        dense.append(list(r["dense"]))
-        texts.append(dict(zip(r["words"], r["shares"], strict=True)))
-        for k, c in enumerate(marks):
-            out[k].append(r[c])
-    return ids, dense, texts, out
+    table = got.mapInArrow(narrow, ddl + ", words array<int>, shares array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    lengths = np.array([len(x) for x in table.column("words")], np.int64)
+    return Sample(table.column("doc_id").to_numpy(), [table.column(c).to_numpy() for c in marks], flat("dense").reshape(table.num_rows, -1), wanted, np.repeat(np.arange(table.num_rows), lengths), flat("words").astype(np.int64), flat("shares"))
 
 
 def _statistic(hit, n, positives, total):
-    """G statistic of a word's 2x2 table, as a column."""
+    """``statistic`` as a column."""
     positives, total = positives or 0, max(1, total)
     cells = [(hit, n * positives / total), (n - hit, n * (total - positives) / total), (positives - hit, (total - n) * positives / total), (total - positives - n + hit, (total - n) * (total - positives) / total)]
     return sum((F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))

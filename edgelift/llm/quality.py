@@ -13,13 +13,15 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
-from .linear import SAMPLE, fit, inputs, labelled_sample
+from .linear import SAMPLE, Scorer, fit, labelled_sample
 
 #: Paths up to which their table is broadcast (about 60 bytes each); beyond, it is joined.
 MOST_BROADCAST = 100_000
 THRESHOLD = 0.5
+RESULTS = ["p_doc", "p_host", "p_path", "p_good", "keep"]
 
 
 def _logit(p: Column) -> Column:
@@ -31,25 +33,30 @@ def _chance(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def with_evidence(docs: DataFrame, model, column: str = "_z") -> DataFrame:
-    """``docs`` with the classifier's log-odds, 0 without a model."""
+def with_evidence(docs: DataFrame, model, columns: list[str]) -> DataFrame:
+    """doc (the ``columns`` of ``docs``), doc_id, host, path and z, the classifier's log-odds (0 without a model), of rows (doc, doc_id, host, path, text).
+
+    ``text`` is null where ``columns`` hold it.
+    """
     if model is None:
-        return docs.withColumn(column, F.lit(0.0))
+        return docs.drop("text").withColumn("z", F.lit(0.0))
+    inside = "text" in columns
 
     def score(batches):
         import pyarrow as pa
 
+        scorer = Scorer([model])
         for batch in batches:
-            found = [max(-12.0, min(12.0, model.logit(*inputs(t.as_py())))) for t in batch.column("text")]
-            yield batch.append_column(column, pa.array(found, pa.float64()))
+            texts = batch.column(0).field(columns.index("text")) if inside else batch.column(4)
+            found = [max(-12.0, min(12.0, scorer.logits(t.as_py())[0])) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.float64())], [*batch.schema.names[:4], "z"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{ddl}, {column} double")
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields[:4], T.StructField("z", T.DoubleType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE):
-    ids, dense, texts, y = labelled_sample(docs, labels, [label], sample)
-    return fit(dense, texts, y[0]) if ids else None
+    found = labelled_sample(docs, labels, [label], sample)
+    return fit(found, found.labels[0]) if found else None
 
 
 def strength(groups: DataFrame, n: str, good: str) -> float:
@@ -63,13 +70,13 @@ def strength(groups: DataFrame, n: str, good: str) -> float:
     return min(1e4, max(1.0, within / excess)) if excess > 0 and within > 0 else 1e4
 
 
-def paths(scored: DataFrame, labels: DataFrame, label: str, host: str, path: str) -> tuple[DataFrame, float]:
+def paths(scored: DataFrame, labels: DataFrame, label: str, host: str, path: str, z: str) -> tuple[DataFrame, float]:
     """One row a path: host, path and their posteriors; and the global mean.
 
-    scored: doc_id, host, path, _z.  A null host or path is a site of its own.
+    scored: doc_id and the named columns, z the log-odds.  A null host or path is a site of its own.
     """
-    known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("_label"))
-    seen = scored.join(known, "doc_id", "left").select(host, path, F.coalesce("_label", _chance(F.col("_z"))).alias("good"))
+    known = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("double")).alias("_label"))
+    seen = scored.join(known, "doc_id", "left").select(host, path, F.coalesce("_label", _chance(F.col(z))).alias("good"))
     by_path = materialize(seen.groupBy(host, path).agg(F.count("*").alias("n"), F.sum("good").alias("good")), "paths")
     by_host = by_path.groupBy(host).agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     total = by_path.agg(F.sum("n"), F.sum("good")).first()
@@ -80,23 +87,35 @@ def paths(scored: DataFrame, labels: DataFrame, label: str, host: str, path: str
     return joined.select(host, path, "p_host", ((F.col("good") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_path")), mean
 
 
-def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", host: str = "source", path: str = "lang", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with p_doc, p_host, p_path, p_good and keep.
-
-    A null text counts as empty; repeated rows are judged each, equal ones
-    alike; without labels all evidence is even and everything stays.
-    """
-    model = train(docs, labels, label, sample)
-    scored = materialize(with_evidence(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", host, path), model).drop("text"), "evidence")
-    sites, mean = paths(scored, labels, label, host, path)
-    sites = materialize(sites.select(F.col(host).alias("_host"), F.col(path).alias("_path"), "p_host", "p_path"), "sites")
+def _judged(docs: DataFrame, labels: DataFrame, label: str, host: str, path: str, sample: int, threshold: float, columns: list[str]) -> DataFrame:
+    """doc, the ``columns`` of a row of ``docs`` as a struct, and RESULTS.  Texts are scored once; the rows are written with their log-odds."""
+    text = F.lit(None).cast("string") if "text" in columns else F.col("text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), text.alias("text"))
+    scored = materialize(with_evidence(rows, train(docs, labels, label, sample), columns), "evidence")
+    sites, mean = paths(scored, labels, label, "host", "path", "z")
+    sites = materialize(sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "p_host", "p_path"), "sites")
     sites = F.broadcast(sites) if sites.count() <= MOST_BROADCAST else sites
-    out = with_evidence(docs, model)
-    out = out.join(sites, out[host].eqNullSafe(sites["_host"]) & out[path].eqNullSafe(sites["_path"]), "left")
-    z = F.col("_z") + _logit(F.col("p_path")) - math.log(mean / (1 - mean))
-    return out.withColumns({"p_doc": _chance(F.col("_z")), "p_good": _chance(z)}).withColumn("keep", F.col("p_good") >= threshold).drop("_z", "_host", "_path")
+    out = scored.join(sites, scored["host"].eqNullSafe(sites["_host"]) & scored["path"].eqNullSafe(sites["_path"]), "left")
+    good = _chance(F.col("z") + _logit(F.col("p_path")) - math.log(mean / (1 - mean)))
+    return out.select("doc", _chance(F.col("z")).alias("p_doc"), "p_host", "p_path", good.alias("p_good"), (good >= threshold).alias("keep"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", host: str = "source", path: str = "lang", sample: int = SAMPLE, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
+    """The ``columns`` of ``docs`` (all) with p_doc, p_host, p_path, p_good and keep.
+
+    docs: doc_id, text, ``host``, ``path`` and any others; those that bear the
+    name of a result give way to it.  The path is any column that divides a
+    host's documents; where a table knows no paths, as the default one, the
+    language stands for it.  A null text counts as empty, a null host or path
+    is a site of its own, a text of any length is read whole; repeated rows are
+    judged each, equal ones alike; a document at the threshold stays; without
+    labels all evidence is even and everything stays; an empty table gives no
+    rows.
+    """
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in RESULTS]
+    return _judged(docs, labels, label, host, path, sample, threshold, columns).select("doc.*", *RESULTS)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their columns."""
-    return judge(docs, labels, **options).filter("keep").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", host: str = "source", path: str = "lang", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns as they are."""
+    return _judged(docs, labels, label, host, path, sample, threshold, docs.columns).filter("keep").select("doc.*")

@@ -63,8 +63,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), columns=["doc_id", "source", "lang"])
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

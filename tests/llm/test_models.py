@@ -77,6 +77,7 @@ def test_toxicity_held_out(spark):
     held = [r for r in rows if not r[0] % 2]
     assert sum(got[d]["is_toxic"] == bool(t) for d, _, t in held) > 0.95 * len(held)
     none = toxicity.find_toxic(docs, labels.limit(0), ["toxic"])
+    assert none.columns == ["doc_id", "p_toxic", "is_toxic"]
     assert none.filter("is_toxic").count() == 0 and none.count() == 603
     assert toxicity.find_toxic(docs.limit(0), labels, ["toxic"]).count() == 0
 
@@ -87,14 +88,18 @@ def test_quality_held_out(spark):
     got = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
     held = [r for r in rows if not r[0] % 2]
     assert sum(got[d]["keep"] == bool(q) for d, q, _ in held) > 0.95 * len(held)
-    assert quality.keep_good(docs, labels).columns == docs.columns
+    named = docs.selectExpr("*", "'a' AS p_path", "'b' AS p_host", "'c' AS keep", "'d' AS z", "'e' AS doc", "'f' AS path", "'g' AS host")
+    kept = quality.keep_good(named, labels).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(r["doc_id"] for r in quality.judge(docs, labels).filter("keep").collect())
+    assert {tuple(r)[4:] for r in kept} == {tuple("abcdefg")}
+    assert set(quality.judge(named, labels).columns) == {*named.columns, *quality.RESULTS}
     assert quality.judge(docs, labels.limit(0)).filter("keep").count() == 603
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
 def test_sparse_sites_shrink_to_the_mean(spark):
-    scored = spark.createDataFrame([(i, "big" if i < 400 else "bad" if i < 600 else "one", "en", 3.0 if i < 400 else -3.0) for i in range(601)], "doc_id long, source string, lang string, _z double")
-    table, mean = quality.paths(scored, spark.createDataFrame([], "doc_id long, quality int"), "quality", "source", "lang")
+    scored = spark.createDataFrame([(i, "big" if i < 400 else "bad" if i < 600 else "one", "en", 3.0 if i < 400 else -3.0) for i in range(601)], "doc_id long, source string, lang string, z double")
+    table, mean = quality.paths(scored, spark.createDataFrame([], "doc_id long, quality int"), "quality", "source", "lang", "z")
     p = {r["source"]: r["p_path"] for r in table.collect()}
     assert p["bad"] < p["one"] < mean < p["big"]
 
@@ -114,3 +119,28 @@ def test_pipeline(spark, drop):
     if not drop:
         totals = docs.groupBy("doc_id", "doc_tokens").agg({"length": "sum"}).collect()
         assert all(r["doc_tokens"] == r["sum(length)"] for r in totals)
+
+
+def test_chain_of_three(spark):
+    """Each category shows in the one before it, so the chain beats independent models."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randint(3, 9)))
+    docs, labels = [], []
+    for i in range(900):
+        rude = rng.random() < 0.5
+        toxic = rude and rng.random() < 0.6
+        threat = toxic and rng.random() < 0.9
+        body = [word() for _ in range(40)] + ["rudeword"] * rude + ["toxicword"] * toxic
+        rng.shuffle(body)
+        docs.append((i, " ".join(body)))
+        labels.append((i, int(rude), int(toxic), int(threat)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    names = ["rude", "toxic", "threat"]
+    known = spark.createDataFrame([r for r in labels if r[0] % 2], "doc_id long, rude int, toxic int, threat int")
+    chain = toxicity.train_chain(frame, known, names)
+    assert [len(m.weights) - len(chain.models[0].weights) - 2 * (len(m.words) - len(chain.models[0].words)) for m in chain.models] == [0, 1, 2]
+    got = {r["doc_id"]: r for r in toxicity.score_chain(frame, chain, names).collect()}
+    right = lambda k, c: sum((got[r[0]][f"p_{c}"] >= 0.5) == bool(r[1 + k]) for r in labels if not r[0] % 2) / 450
+    assert right(0, "rude") > 0.98 and right(1, "toxic") > 0.98 and right(2, "threat") > 0.9
+    alone = {r["doc_id"]: r["p_threat"] for r in toxicity.score_chain(frame, toxicity.train_chain(frame, known, ["threat"]), ["threat"]).collect()}
+    assert right(2, "threat") >= sum((alone[r[0]] >= 0.5) == bool(r[3]) for r in labels if not r[0] % 2) / 450
