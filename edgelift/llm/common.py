@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot if it holds more than one in so many of all rows.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +51,26 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def hot_keys(counts: DataFrame, key: str) -> DataFrame:
+    """The keys that hold more than one in ``HOT`` of all rows: fewer than ``HOT``, so they may be broadcast.
+
+    counts: ``key`` and its number of rows, ``n``.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") * HOT > total).select(key)
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key; the rows of ``hot`` keys stay where they are.
+
+    Only the rows of other keys are shuffled, so no task gets a large share of
+    ``left``.  Both are read twice and should be written tables.
+    """
+    hot = F.broadcast(hot)
+    stay = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+    return stay.unionByName(left.join(hot, key, "left_anti").join(right, key, how))
+
+
 def width(spark: SparkSession) -> int:
     """Number of partitions for an explicit exchange."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

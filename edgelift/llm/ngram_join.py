@@ -29,8 +29,9 @@ from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, width
+from .common import hot_keys, materialize, split_join, width
 from .graph import components
 
 #: Band edges grow by this factor; it exceeds the ratio of the sizes of two similar sets.
@@ -314,9 +315,15 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    one = texts.select(F.col("node").alias("u"), F.col("text").alias("first"))
-    two = texts.select(F.col("node").alias("v"), F.col("text").alias("second"))
-    return pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "first", "second").mapInArrow(count, "u long, v long")
+    pairs = _small(pairs.select("u", "v"))
+    one = texts.join(pairs, texts["node"] == pairs["u"]).select("u", "v", F.col("text").alias("first"))
+    two = _of_nodes(texts, pairs.select(F.col("v").alias("node"))).select(F.col("node").alias("v"), F.col("text").alias("second"))
+    return one.join(two, "v").select("u", "v", "first", "second").mapInArrow(count, "u long, v long")
+
+
+def _of_nodes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose node is among ``nodes``."""
+    return texts.join(_small(nodes.select("node").distinct()), "node", "left_semi")
 
 
 def parity(grams, bits: int):
@@ -415,10 +422,10 @@ def joining(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
         out = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
         return out.select("key", "node", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), *columns).groupBy("key", "i", "j")
 
-    short = members.join(texts.select("node", "text", "size").mapInArrow(vectors, "node long, size long, bits binary"), "node")
+    short = members.join(_of_nodes(texts, members).select("node", "text", "size").mapInArrow(vectors, "node long, size long, bits binary"), "node")
     alive = materialize(dealt(short, "size", "bits").applyInPandas(partnered, "key long, node long").distinct(), "alive")
     left = members.join(alive, ["key", "node"])
-    return dealt(left.join(texts.select("node", "text").mapInArrow(hashes, "node long, grams array<long>"), "node"), "grams").applyInPandas(unite, "u long, v long")
+    return dealt(left.join(_of_nodes(texts, alive).select("node", "text").mapInArrow(hashes, "node long, grams array<long>"), "node"), "grams").applyInPandas(unite, "u long, v long")
 
 
 def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -428,16 +435,20 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     is the smallest doc_id reachable.  Texts with equal sets are one node of
     the graph, so copies are never paired.  A null text, or one without words,
     has no n-grams and links with nothing, not even its like.  Rows with a
-    null doc_id take part but never name a component that has other ids;
-    an empty table gives no rows.  percent: above 50, below 100.
+    null doc_id take part but never name a component that has other ids; rows
+    that share a doc_id are judged each by its own text.  Texts are read whole;
+    further columns are not read; an empty table gives no rows.
+    percent: above 50, below 100.
     """
+    return judged_sets(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def judged_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``similar_documents`` with ``node`` and ``component``, a node of the component; null for empty sets."""
     members = members_of(entries_of_documents(docs, n, percent))
     signed = materialize(set_of_documents(docs, n), "sets")
-    sizes = signed.filter("node is not null").groupBy("node").agg(F.min("n_shingles").alias("size"), F.min("doc_id").alias("_id"))
-
-    wanted = _small(members.select("node").distinct().join(sizes, "node").select("node", "_id", "size"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "size", "text")
-    texts = materialize(_right_texts(found, n), "texts")
+    nodes = materialize(signed.filter("node is not null").groupBy("node").agg(F.min("n_shingles").alias("size"), F.min("doc_id").alias("_id"), F.count("*").alias("n")), "nodes")
+    texts = materialize(texts_of(docs, signed, members.select("node").distinct().join(nodes, "node").select("node", "_id", "size"), n), "texts")
     size = texts.select("node", "size")
 
     def fits(pairs: DataFrame) -> DataFrame:
@@ -461,25 +472,54 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     few, many = open_.filter(F.col("held") <= FEW), open_.filter(F.col("held") > FEW)
     other = few.select("key", F.col("node").alias("v"), F.col("component").alias("c"))
     pairs = few.join(other, "key").filter("component <> c AND node > v").select(F.col("node").alias("u"), "v").union(joining(many, texts, n, percent))
-    fresh = materialize(fits(pairs.distinct().join(tried, ["u", "v"], "left_anti")), "pairs")
+    fresh = fits(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
     links = links.union(materialize(verify(fresh, texts, n, percent), "links"))
-    label = components(links)
-    named = signed.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
-    smallest = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # groups of near copies are hot components, groups of exact copies hot nodes
+    label = materialize(components(links), "label")
+    linked = materialize(label.join(nodes, "node").select("node", "component", "_id"), "linked")
+    smallest = materialize(linked.groupBy("component").agg(F.min("_id").alias("component_id"), F.count("*").alias("n")), "smallest")
+    named = split_join(linked.select("node", "component"), smallest.drop("n"), "component", hot_keys(smallest, "component"))
+    alone = nodes.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"), F.col("_id").alias("component_id"))
+    named = materialize(named.unionByName(alone), "named")
+    return split_join(signed, named, "node", hot_keys(nodes, "node"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def texts_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """node, size, text of the ``wanted`` nodes (node, _id, size), by their least doc_id.
+
+    Rows whose doc_id is null or not theirs alone are told apart by their sets.
+    """
+    rows, wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _small(wanted)
+    odd = _odd_ids(signed)
+    plain = rows.join(wanted, rows["doc_id"] == wanted["_id"]).select("doc_id", "node", "size", "text")
+    if odd is None:
+        return plain.drop("doc_id")
+    found = with_nodes(_of_ids(rows, odd), n).drop("doc_id").join(wanted, "node").select("node", "size", "text").dropDuplicates(["node"])
+    return plain.join(odd, "doc_id", "left_anti").drop("doc_id").unionByName(found)
+
+
+def _odd_ids(signed: DataFrame) -> DataFrame | None:
+    """The doc_ids that are null or on several rows; None without any."""
+    odd = _small(signed.groupBy("doc_id").count().filter("doc_id is null or count > 1").select("doc_id"))
+    return None if odd.isEmpty() else odd
+
+
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ``ids``, null included."""
+    return rows.join(ids.withColumnRenamed("doc_id", "_odd"), F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi")
 
 
-def _right_texts(found: DataFrame, n: int) -> DataFrame:
-    """One text of each node; where rows share a doc_id, the one whose set it is."""
+def with_nodes(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (``text`` and others) with the node of each."""
 
-    def check(batches):
+    def add(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = [node == node_of(hashed_ngrams(t.as_py(), n)) for node, t in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            grams = [hashed_ngrams(t.as_py(), n) for t in batch.column("text")]
+            yield batch.append_column("node", pa.array([node_of(g) if len(g) else None for g in grams], pa.int64()))
 
-    return found.mapInArrow(check, found.schema).dropDuplicates(["node"])
+    return rows.mapInArrow(add, T.StructType([*rows.schema.fields, T.StructField("node", T.LongType())]))
 
 
 def _small(frame: DataFrame) -> DataFrame:
@@ -491,13 +531,21 @@ def _small(frame: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id.
 
-    Rows without n-grams or without a doc_id stay; of rows that repeat id and
-    text one stays.
+    Rows without a doc_id stay, and those without n-grams; of rows that repeat
+    a doc_id, one of each component stays if the doc_id is its smallest, and
+    one of each text without n-grams.  All columns stay as they are.
     """
-    judged = materialize(similar_documents(docs, n, percent), "judged")
-    out = docs.join(_small(judged.filter("doc_id <> component_id").select("doc_id").distinct()), "doc_id", "left_anti")
-    twice = _small(judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if not twice.isEmpty():
-        once = out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        out = out.join(twice, "doc_id", "left_anti").unionByName(once)
-    return out.select(*docs.columns)
+    judged = materialize(judged_sets(docs, n, percent), "judged")
+    later = _small(judged.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
+    odd = _odd_ids(judged)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
+    if odd is None:
+        return rows.join(later, rows["doc_id"] == later["_id"], "left_anti").select("doc.*")
+    once = rows.join(odd, "doc_id", "left_anti")  # null ids are kept by this join
+    nameless, once = once.filter("doc_id is null"), once.filter("doc_id is not null")
+    again = _of_ids(rows, odd).filter("doc_id is not null").select("doc", "doc_id", F.col("doc.text").alias("text"))
+    verdict = judged.join(odd.filter("doc_id is not null"), "doc_id", "left_semi").filter("node is not null").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "component", "component_id").distinct()
+    again = with_nodes(again, n).join(verdict, (F.col("doc_id") == F.col("_id")) & (F.col("node") == F.col("_node")), "left").filter("component_id is null or component_id = doc_id")
+    # the one of each component (or empty text) that comes first by its text
+    again = again.groupBy("doc_id", "component", F.when(F.col("component").isNull(), F.coalesce("text", F.lit(""))).alias("_text")).agg(F.min_by("doc", F.struct("text")).alias("doc"))
+    return once.join(later, once["doc_id"] == later["_id"], "left_anti").select("doc.*").unionByName(again.select("doc.*")).unionByName(nameless.select("doc.*"))

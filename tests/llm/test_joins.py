@@ -60,6 +60,10 @@ def test_repeated_rows_and_keep_first(spark):
     long = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(1, long, "a"), (2, long, "b"), (2, long, "b"), (3, "other text entirely here now", "c"), (3, "other text entirely here now", "c"), (4, None, "d"), (None, long, "e")], "doc_id long, text string, lang string")
     assert sorted(map(tuple, ngram_join.keep_first(docs, 5, 80).collect()), key=str) == sorted([(1, long, "a"), (3, "other text entirely here now", "c"), (4, None, "d"), (None, long, "e")], key=str)
+    # B is no copy of anything, though a copy of A has its id; of near copies under one id one stays
+    other, third = (" ".join(f"{c}{i}" for i in range(50)) for c in "xy")
+    docs = spark.createDataFrame([(1, long), (5, long), (5, other), (6, other + " y"), (6, other + " z"), (7, long), (8, third), (8, third + " q")], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.keep_first(docs, 5, 80).collect())) == [(1, long), (5, other), (8, third)]
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.similar_documents(none).count() == 0
 
@@ -79,6 +83,17 @@ def test_similar_sets_share_an_entry(size, seed, kind):
         assert set(ngram_join.signatures(a, percent, common).tolist()) & set(ngram_join.signatures(b, percent, common).tolist())
 
 
+def test_many_rows_without_an_id(spark):
+    texts = [(None if i % 3 else 77, t) for i, t in near_copies(1, groups=4, each=12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = [ngram_join.ngrams(t, 3) for _, t in texts]
+    got = sorted(((r["doc_id"], r["n_shingles"]) for r in ngram_join.similar_documents(docs).collect()), key=str)
+    assert got == sorted(((d, len(s)) for (d, _), s in zip(texts, sets, strict=True)), key=str)
+    found = {r["node"]: r["component"] for r in ngram_join.judged_sets(docs, 3, 90).collect() if r["node"] is not None}
+    numbered = brute_components([(i, t) for i, (_, t) in enumerate(texts)], 3, 90)
+    assert len({c for _, n, c in numbered if n}) == len(set(found.values()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200), (7, 3)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
