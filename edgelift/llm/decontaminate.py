@@ -16,6 +16,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Edits for each character of an item.
 RATE = 0.05
 #: Normalized items below this length are matched without edits and as whole words.
@@ -65,17 +67,17 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 
 
 class Matcher:
-    """Finds the items of one block in texts."""
+    """Finds the items of one block in texts; several items may share an id."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         import ahocorasick
 
-        self.items = {i: t for i, t in items if len(t) > 2}
-        self.budget = {i: int(rate * len(t)) if len(t) >= LEAST else 0 for i, t in self.items.items()}
+        self.items = [(i, t) for i, t in items if len(t) > 2]
+        self.budget = [int(rate * len(t)) if len(t) >= LEAST else 0 for _, t in self.items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for i, t in self.items.items():
-            for offset, piece in pieces(t, self.budget[i]):
-                places[piece].append((i, offset))
+        for k, (_, t) in enumerate(self.items):
+            for offset, piece in pieces(t, self.budget[k]):
+                places[piece].append((k, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -83,44 +85,45 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> dict[int, int]:
-        """item -> least distance of a hit in the normalized text."""
+        """item_id -> least distance of a hit in the normalized text."""
         found: dict[int, int] = {}
-        checked: dict[int, int] = {}  # up to where an item was looked for
         if not self.items:
             return found
+        checked: dict[int, int] = {}  # item -> where its last alignment began
         for end, (n, where) in self.automaton.iter(text):
-            for item, offset in where:
+            for k, offset in where:
+                item, pattern = self.items[k]
                 if found.get(item) == 0:
                     continue
-                pattern, budget = self.items[item], self.budget[item]
-                begin = end + 1 - n - offset
-                if text.startswith(pattern, max(begin, 0)) and begin >= 0:
+                budget, begin = self.budget[k], end + 1 - n - offset
+                if begin >= 0 and text.startswith(pattern, begin):
                     found[item] = 0
-                elif budget and end >= checked.get(item, -1):
-                    stop = min(len(text), begin + len(pattern) + 2 * budget)
-                    # later pieces of the same hit lie in the same stretch; the next hit's check starts where this one can't reach
-                    hit = myers(pattern, text[max(0, begin - 2 * budget) : stop], budget)
+                # a hit that holds this piece begins within the budget of here, and the last stretch reached twice as far
+                elif budget and abs(begin - checked.get(k, -budget - 1 - len(pattern))) > budget:
+                    checked[k] = begin
+                    hit = myers(pattern, text[max(0, begin - 2 * budget) : begin + len(pattern) + 2 * budget], budget)
                     if hit:
                         found[item] = min(hit[0], found.get(item, hit[0]))
-                        checked[item] = stop
         return found
 
 
-def blocks(items: DataFrame, size: int = BLOCK) -> list[list[tuple[int, str]]]:
-    """Items (item_id, text) as normalized (item_id, text), in blocks of at most ``size`` characters.
+def blocks(items: DataFrame, size: int | None = None):
+    """Items (item_id, text) as normalized (item_id, text), in blocks of at most ``size`` characters (BLOCK), one after the other.
 
-    The benchmark is the stated query set; a set of many blocks costs that many
-    automata, each of bounded size, in one pass over the documents.
+    The benchmark is the stated query set.  It passes through the driver a
+    block at a time, and each block costs one automaton of bounded size and one
+    pass over the documents.
     """
-    out, room = [], 0
+    out, room = [], size or BLOCK
     for r in items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         text = normalize(r["text"])
-        if room < len(text):
-            out.append([])
-            room = size
-        out[-1].append((r["item_id"], text))
+        if out and room < len(text):
+            yield out
+            out, room = [], size or BLOCK
+        out.append((r["item_id"], text))
         room -= len(text)
-    return out
+    if out:
+        yield out
 
 
 @lru_cache(4)
@@ -131,11 +134,15 @@ def _matcher(items: tuple, rate: float) -> Matcher:
 def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance of every item found in every row of ``docs`` (doc_id, text).
 
-    Null texts and items match nothing; items are compared without regard to
-    case, punctuation and white space; an item without letters or digits is
-    left out; repeated rows report each.
+    Null and empty texts and items match nothing; a text of any length is read
+    whole; items are compared without regard to case, punctuation and white
+    space; an item without letters or digits is left out; several texts under
+    one item_id are one item, of which the nearest counts; repeated rows report
+    each; further columns are not read; an empty table gives no rows.  With
+    several blocks each one's hits are written before the next is fetched.
     """
-    found = None
+    schema = "doc_id long, item_id long, distance long"
+    own, found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
     for block in blocks(items):
         key = tuple(block)
 
@@ -147,17 +154,26 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFra
                 rows = [(d, i, n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for i, n in sorted(matcher.find(normalize(t.as_py())).items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "item_id", "distance"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(match, "doc_id long, item_id long, distance long")
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance long") if found is None else found
+        if found:
+            found[-1] = materialize(found[-1], "hits")
+        found.append(own.mapInArrow(match, schema))
+    if not found:
+        return docs.sparkSession.createDataFrame([], schema)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with their columns."""
-    out = docs
-    for block in blocks(items):
+    """The rows of ``docs`` in which no item is found, with all their columns.
+
+    Null and empty texts hold nothing and stay; texts, items and repeats are
+    taken as by ``find_items``.  Between blocks the rows left are written.
+    """
+    out, at = docs, docs.columns.index(text)
+    for n, block in enumerate(blocks(items)):
         key = tuple(block)
-        at = docs.columns.index(text)
 
         def keep(batches, key=key):
             import pyarrow as pa
@@ -166,5 +182,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, tex
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(normalize(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = (materialize(out, "clean") if n else out).mapInArrow(keep, docs.schema)
     return out

@@ -161,6 +161,18 @@ def test_decontamination(spark, monkeypatch):
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(frame, tests).collect()} == wanted
         assert {r["doc_id"] for r in decontaminate.drop_contaminated(frame, tests).collect()} == {d for d, _ in docs} - {d for d, _ in wanted}
     assert decontaminate.find_items(frame, tests.limit(0)).count() == 0
+    assert decontaminate.find_items(frame.limit(0), tests).count() == 0 and decontaminate.drop_contaminated(frame, tests.limit(0)).count() == len(docs)
+
+
+def test_texts_of_one_item(spark, monkeypatch):
+    """Two texts share an item_id: both are found, whatever the blocks; the least distance counts."""
+    one, two = "the first text of the item has so many letters", "and quite another text stands second in this item"
+    items = spark.createDataFrame([(1, one), (1, two), (1, two), (2, "zz")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"q {one} q", 5), (2, f"q {two.replace('quite', 'quote')} {two} q", 5), (3, f"q {two.replace('quite', 'quote')}", 5), (4, "zz", 5), (5, "zzz", 5), (None, one, 5)], "doc_id long, text string, item_id int")
+    for size in (10**6, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK", size)
+        assert sorted(map(tuple, decontaminate.find_items(docs, items).distinct().collect()), key=str) == sorted([(1, 1, 0), (2, 1, 0), (3, 1, 1), (4, 2, 0), (None, 1, 0)], key=str)
+        assert decontaminate.drop_contaminated(docs, items).collect() == [(5, "zzz", 5)]
 
 
 def test_urls(spark):
