@@ -50,7 +50,8 @@ class Encoder(dict):
 
         self.pack = lambda ids: numpy.array(ids, "<u4").tobytes()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # special tokens that stand in a text are found by the library, as the whole text goes there
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)", re.I).search
         self.cut, self.lower, self.memo = _CUT[kind], kind == "word", memo
         self.visible, self.model, self.older = byte_alphabet(), self.library.model, {}
 
@@ -68,7 +69,7 @@ class Encoder(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text or not _PLAIN(text):
+        if not _PLAIN(text) or self.special(text):
             return self.whole(text)
         if len(self) > self.memo:
             self.older = dict(self)

@@ -5,18 +5,22 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from edgelift.llm import packing, token_store
-from edgelift.llm.tokens import Encoder
+from edgelift.llm.tokens import Encoder, encoder
 
-TEXTS = ["The quick brown fox", "", None, "Élan  vital\n\n\tça va?  ", "don't WE'LL x's 12345 ½²", "日本語 and emoji 🙂 mixed", "nbsp\u00a0here \u200b", "<|endoftext|> text", "a" * 5000, "word " * 9000, "é" * 3, " lead", "trail ", "tabs\t\tand\r\nlines", "e\u0301 combining", "x'S 'T"]
+TEXTS = ["The quick brown fox", "", None, "Élan  vital\n\n\tça va?  ", "don't WE'LL x's 12345 ½²", "日本語 and emoji 🙂 mixed", "nbsp\u00a0here \u200b", "<|endoftext|> text", "a <|ENDOFTEXT|>b <|startoftext|><|x|> <|endoftext|", "a" * 5000, "word " * 9000, "é" * 3, " lead", "trail ", "tabs\t\tand\r\nlines", "e\u0301 combining", "x'S 'T"]
 WORD, BYTE = (str(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
+_libraries = {}
+
+
 def library(path, text, end):
-    k = Tokenizer.from_file(path)
-    k.encode_special_tokens = True
+    k = _libraries.setdefault(path, Tokenizer.from_file(path))
     return np.array([*k.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -28,6 +32,13 @@ def test_encoder_equals_library(path, kind):
             assert e.encode(t) == library(path, t, 0)[:-1].tobytes()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(st.characters(max_codepoint=255)), st.text("ab A'1.\t\n\r \xa0é½\xad<|", max_size=40), st.text(max_size=30)))
+def test_encoder_equals_library_on_any_text(text):
+    for path, kind in ((WORD, "word"), (BYTE, "byte")):
+        assert encoder(path, kind).encode(text) == library(path, text, 0)[:-1].tobytes()
+
+
 def rows(spark, texts=TEXTS):
     # repeated rows, a null id, and columns with clashing names
     data = [(i * 3, t, 1, "x") for i, t in enumerate(texts)] + [(0, texts[0], 1, "x"), (None, "no id", 1, "x")]
