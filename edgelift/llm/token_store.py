@@ -9,9 +9,9 @@ root.  A store holds three Parquet tables:
 ``recipes``     one row a document in ascending doc_id order (files too)
 ``manifest``    the Merkle tree above the recipes, fan-out 1024, up to one root
 
-``read_chunks`` checks every chunk against its name, ``read_checked`` puts the
-documents' checksums together along their recipes and checks each Merkle root,
-and ``read_ids`` rebuilds the ids themselves.
+``read_chunks`` checks every chunk against its name, ``read_checked`` checks the
+manifest, puts the documents' checksums together along their recipes and checks
+each Merkle root, and ``read_ids`` rebuilds the ids themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import width
+from .common import materialize, width
 from .tokens import encoder
 
 #: Chunk sizes in ids: least, the mask's mean beyond it, most.
@@ -192,21 +192,46 @@ def read_recipes(spark: SparkSession, store: str) -> DataFrame:
     return placed.join(shards, "shard").select("doc_id", "key", "n_tokens", "recipe", "root", (F.col("docs_before") + F.col("nth") - 1).alias("place"), (F.col("ids_before") + F.col("sum") - F.col("n_tokens")).alias("start"))
 
 
+def _parents(nodes: DataFrame) -> DataFrame:
+    """place, children and hash of the nodes above ``nodes`` (place, hash)."""
+    place = F.floor(F.col("place") / MANIFEST_FAN).cast("long")
+    return nodes.groupBy(place.alias("parent")).agg(F.count("*").alias("children"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"])).cast("binary"), 256).alias("hash")).select(F.col("parent").alias("place"), "children", "hash")
+
+
+def _leaves(recipes: DataFrame) -> DataFrame:
+    """place and hash of each document: of its id, its length and its root."""
+    return recipes.select("place", F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string"), F.hex("root")).cast("binary"), 256).alias("hash"))
+
+
+def _level(spark: SparkSession, store: str, level: int) -> DataFrame:
+    return spark.read.schema("place long, children long, hash string").parquet(f"{store}/manifest/level={level}")
+
+
 def _write_manifest(spark: SparkSession, store: str) -> None:
-    nodes, level = read_recipes(spark, store).select("place", F.sha2("root", 256).alias("hash")), 0
+    nodes, level = _leaves(read_recipes(spark, store)), 0
     while True:
-        place = F.floor(F.col("place") / MANIFEST_FAN).cast("long")
-        nodes = nodes.groupBy(place.alias("parent")).agg(F.count("*").alias("children"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"])).cast("binary"), 256).alias("hash"))
-        nodes = nodes.select(F.lit(level).alias("level"), F.col("parent").alias("place"), "children", "hash")
-        target = f"{store}/manifest/level={level}"
-        nodes.drop("level").write.parquet(target)
-        nodes, level = spark.read.schema("place long, children long, hash string").parquet(target), level + 1
+        _parents(nodes).write.parquet(f"{store}/manifest/level={level}")
+        nodes, level = _level(spark, store, level), level + 1
         if nodes.count() <= 1:
             return
 
 
-def read_chunks(spark: SparkSession, store: str) -> DataFrame:
-    """digest, crc, n of each chunk; one that does not match its name fails the task."""
+def check_manifest(spark: SparkSession, store: str, recipes: DataFrame) -> None:
+    """Fails unless the Merkle tree over ``recipes`` is the stored one, level by level up to its root."""
+    nodes, level = _leaves(recipes), 0
+    while True:
+        stored = _level(spark, store, level).withColumn("stored", F.struct("children", "hash")).select("place", "stored")
+        found = _parents(nodes).withColumn("found", F.struct("children", "hash")).select("place", "found")
+        count, wrong = stored.join(found, "place", "full").agg(F.count("*"), F.count_if(~F.col("stored").eqNullSafe(F.col("found")))).first()
+        if wrong:
+            raise ValueError(f"{wrong} nodes of the manifest's level {level} do not fit the recipes")
+        nodes, level = _level(spark, store, level), level + 1
+        if count <= 1:
+            return
+
+
+def read_chunks(spark: SparkSession, store: str, contents: bool = False) -> DataFrame:
+    """digest, crc, n (and the ids, as payload) of each chunk; one that does not match its name fails the task."""
 
     def check(batches):
         import pyarrow as pa
@@ -218,9 +243,9 @@ def read_chunks(spark: SparkSession, store: str) -> DataFrame:
                     raise ValueError(f"chunk {key.hex()} is damaged")
                 ids = unpack(load)
                 names.append(key[1:]), sums.append(zlib.crc32(ids)), counts.append(len(ids) // 4)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sums, pa.int64()), pa.array(counts, pa.int64())], ["digest", "crc", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sums, pa.int64()), pa.array(counts, pa.int64()), *([batch.column(1)] if contents else [])], ["digest", "crc", "n", *(["payload"] if contents else [])])
 
-    return _raw(spark, store).filter("kind = 'chunk'").select("key", "payload").mapInArrow(check, "digest binary, crc long, n long")
+    return _raw(spark, store).filter("kind = 'chunk'").select("key", "payload").mapInArrow(check, "digest binary, crc long, n long" + ", payload binary" * contents)
 
 
 def _parts(recipes: DataFrame) -> DataFrame:
@@ -230,14 +255,34 @@ def _parts(recipes: DataFrame) -> DataFrame:
     return distinct.select("root", F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("recipe"), i * DIGEST + 1, F.lit(DIGEST)))).alias("nth", "digest"))
 
 
+def _verified(spark: SparkSession, store: str) -> DataFrame:
+    """The recipes, after a check of the manifest over them."""
+    recipes = materialize(read_recipes(spark, store), "recipes")
+    check_manifest(spark, store, recipes)
+    return recipes
+
+
+def _whole(root: bytes, parts: list[dict]) -> None:
+    if any(p["crc"] is None for p in parts) or merkle([p["digest"] for p in parts]) != root:
+        raise ValueError(f"document {root.hex()} can't be rebuilt")
+
+
+def _sized(recipes: DataFrame, whole: DataFrame, column: str) -> DataFrame:
+    """doc_id, start, n_tokens and the ``column`` of ``whole`` (root, found and it), whose length must be the recipe's."""
+    checked = F.when(F.col("found") == F.col("n_tokens"), F.col(column)).otherwise(F.raise_error(F.lit("a document has another length than its recipe")).cast(whole.schema[column].dataType))
+    return recipes.join(whole, "root", "left").select("doc_id", "start", "n_tokens", checked.alias(column))
+
+
 def read_checked(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files.
 
-    Each distinct recipe is followed once: the checksums of its chunks, taken
-    from their contents, are combined in its order and its Merkle root is
-    computed again.  A missing chunk or another root or length fails the task.
+    The manifest is computed again from the recipes and compared.  Each
+    distinct recipe is followed once: the checksums of its chunks, taken from
+    their contents, are combined in its order and its Merkle root is computed
+    again.  A changed, lost or swapped recipe, a damaged or missing chunk or
+    another length fails.
     """
-    recipes = read_recipes(spark, store)
+    recipes = _verified(spark, store)
 
     def combine(batches):
         import pyarrow as pa
@@ -245,33 +290,36 @@ def read_checked(spark: SparkSession, store: str) -> DataFrame:
         for batch in batches:
             sums, counts = [], []
             for root, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if any(p["crc"] is None for p in parts) or merkle([p["digest"] for p in parts]) != root:
-                    raise ValueError(f"document {root.hex()} can't be rebuilt")
+                _whole(root, parts)
                 total, crc = 0, 0
                 for p in parts:
                     crc = join_crc(crc, p["crc"], 4 * p["n"]) if total else p["crc"]
                     total += p["n"]
                 sums.append(crc), counts.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64()), pa.array(counts, pa.int64())], ["root", "crc", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64()), pa.array(counts, pa.int64())], ["root", "ids_crc32", "found"])
 
     followed = _parts(recipes).join(read_chunks(spark, store), "digest", "left").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("nth", "digest", "crc", "n"))).alias("parts"))
-    whole = followed.mapInArrow(combine, "root binary, crc long, found long")
-    checked = F.when(F.col("found") == F.col("n_tokens"), F.col("crc")).otherwise(F.raise_error(F.lit("a document has another length than its recipe")).cast("long"))
-    return recipes.join(whole, "root", "left").select("doc_id", "start", "n_tokens", checked.alias("ids_crc32"))
+    return _sized(recipes, followed.mapInArrow(combine, "root binary, ids_crc32 long, found long"), "ids_crc32")
 
 
 def read_ids(spark: SparkSession, store: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (array of long): every document rebuilt from its chunks."""
+    """doc_id, start, n_tokens, ids (array of long): every document rebuilt from its chunks.
+
+    Verified like ``read_checked``.  A document's ids must fit in a task's
+    memory, as its text did; repeated rows come back each.
+    """
+    recipes = _verified(spark, store)
 
     def rebuild(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            ids = [np.frombuffer(b"".join(unpack(p["payload"]) for p in parts), "<u4").astype("int64") for parts in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], ["root", "ids"])
+            ids = []
+            for root, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _whole(root, parts)
+                ids.append(np.frombuffer(b"".join(unpack(p["payload"]) for p in parts), "<u4").astype("int64"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array([len(x) for x in ids], pa.int64())], ["root", "ids", "found"])
 
-    recipes = read_recipes(spark, store)
-    chunks = _raw(spark, store).filter("kind = 'chunk'").select(F.expr("substring(key, 2)").alias("digest"), "payload")
-    whole = _parts(recipes).join(chunks, "digest").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("nth", "payload"))).alias("parts")).mapInArrow(rebuild, "root binary, ids array<long>")
-    return recipes.join(whole, "root").select("doc_id", "start", "n_tokens", "ids")
+    followed = _parts(recipes).join(read_chunks(spark, store, True), "digest", "left").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("nth", "digest", "crc", "payload"))).alias("parts"))
+    return _sized(recipes, followed.mapInArrow(rebuild, "root binary, ids array<long>, found long"), "ids")

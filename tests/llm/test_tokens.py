@@ -68,10 +68,35 @@ def test_damage_is_found(spark, tmp_path):
     raw = spark.read.parquet(f"{store}/raw")
     raw.selectExpr("key", "case when kind = 'chunk' then concat(substring(payload, 1, 1), reverse(substring(payload, 2))) else payload end as payload", "doc_id", "n_tokens", "recipe", "kind").write.partitionBy("kind").parquet(f"file:{tmp_path}/bad/raw")
     spark.read.parquet(f"{store}/recipes").write.parquet(f"file:{tmp_path}/bad/recipes")
+    token_store._level(spark, store, 0).write.parquet(f"file:{tmp_path}/bad/manifest/level=0")
     with pytest.raises(Exception, match="damaged|rebuilt"):
         token_store.read_checked(spark, f"file:{tmp_path}/bad").collect()
 
 
+def test_tampering_is_found(spark, tmp_path):
+    store = f"file:{tmp_path}/store"
+    token_store.write_store(rows(spark), store, WORD)
+    recipes, raw = spark.read.parquet(f"{store}/recipes"), spark.read.parquet(f"{store}/raw")
+    one = recipes.filter("doc_id = 3").first()
+    swapped = recipes.drop("recipe", "root", "n_tokens").crossJoin(recipes.filter("doc_id = 3").select("recipe", "root", "n_tokens"))
+    changes = {
+        "swapped": (swapped.select(recipes.columns), raw),
+        "lost": (recipes.filter("doc_id <> 9 or doc_id is null"), raw),
+        "renamed": (recipes.selectExpr("case when doc_id = 9 then 10 else doc_id end as doc_id", *recipes.columns[1:]), raw),
+        "chunks": (recipes, raw.filter("kind <> 'chunk'")),
+    }
+    assert one["n_tokens"]
+    for name, (changed, chunks) in changes.items():
+        at = f"file:{tmp_path}/{name}"
+        changed.write.parquet(f"{at}/recipes")
+        chunks.write.partitionBy("kind").parquet(f"{at}/raw")
+        for level in spark.read.parquet(f"{store}/manifest").select("level").distinct().collect():
+            token_store._level(spark, store, level[0]).write.parquet(f"{at}/manifest/level={level[0]}")
+        for read in (token_store.read_checked, token_store.read_ids):
+            with pytest.raises(Exception, match="rebuilt" if name == "chunks" else "manifest"):
+                read(spark, at).collect()
+
+
 def test_chunks_resist_shifts():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 49000, 20_000).astype(np.uint32)
