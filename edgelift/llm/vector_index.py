@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Vectors that the fit takes at most, lists at most, and distinct vectors a list should hold.
-SAMPLE, MOST_LISTS, LIST = 20_000, 4096, 192
+#: Vectors that the fit takes at most (or EACH for each list), and distinct vectors a list should hold.
+SAMPLE, EACH, LIST = 20_000, 5, 192
+#: Lists: at most so many times the root of the number of distinct vectors, so a query's work grows with the root.
+ROOT = 4
 #: Replicas: at most so many, within this ratio of the nearest centroid's distance.
 REPLICAS, REPLICA_RATIO = 4, 1.15
 #: Probed lists: at least, and within this ratio.
@@ -134,8 +136,8 @@ class Centroids:
 
 def classes(vectors: DataFrame, vector: str, keep: int) -> DataFrame:
     """``vector`` and ``ids``, the ``keep`` smallest vec_ids that have it."""
-    place = F.row_number().over(Window.partitionBy(vector).orderBy("vec_id"))
-    return vectors.withColumn("_n", place).filter(F.col("_n") <= keep).groupBy(vector).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    place = F.dense_rank().over(Window.partitionBy(vector).orderBy("vec_id"))
+    return vectors.withColumn("_n", place).filter(F.col("_n") <= keep).groupBy(vector).agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
 def lift_queries(x, top: float):
@@ -253,7 +255,8 @@ def nearest(vectors: DataFrame, query_filter: str, k: int = 20, vector: str = "e
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row that ``query_filter`` selects.
 
     vectors: vec_id and ``vector``.  Nearness is the inner product in double
-    precision, ties go to the smaller vec_id, and a query never finds itself.
+    precision, ties go to the smaller vec_id, and a query never finds itself,
+    nor another row of its vec_id; rows that repeat a vec_id share one ranking.
     Null and zero vectors, those with null or non-finite components, those of
     another length than most, and null ids take no part.  Fewer candidates
     than ``k`` are all returned; an empty table gives no rows.
@@ -272,8 +275,8 @@ def nearest(vectors: DataFrame, query_filter: str, k: int = 20, vector: str = "e
 
     import numpy as np
 
-    chosen = distinct.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).toPandas()["vector"]
-    lists = min(MOST_LISTS, max(1, math.ceil(n / LIST)))
+    lists = max(1, math.ceil(min(n / LIST, ROOT * math.sqrt(n))))
+    chosen = distinct.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(max(sample, EACH * lists)).toPandas()["vector"]
     centroids = Centroids.build(balanced_centroids(lift(np.array(chosen.tolist(), float), top), lists))
 
     queries = classes(asked, "vector", 1).select("vector", F.col("ids")[0].alias("query"))
@@ -287,7 +290,7 @@ def nearest(vectors: DataFrame, query_filter: str, k: int = 20, vector: str = "e
         probes = materialize(_lists(queries, centroids, top, planned), "probes")
     else:
         posts, probes = (frame.withColumn("list", F.lit(0)) for frame in (distinct, materialize(queries, "probes")))
-    # one row a list: at most MOST_LISTS and a few
+    # one row a list: the root of the number of vectors, a few times
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     sizes = F.broadcast(blocks(posts, "post_blocks").join(blocks(probes, "probe_blocks"), "list"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -320,6 +323,6 @@ def nearest(vectors: DataFrame, query_filter: str, k: int = 20, vector: str = "e
     few = once.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("n") <= k + 1).drop("n")
     # every query of a class, without itself
     same = asked.select(F.col("vec_id").alias("query_id"), "vector").join(classes(asked, "vector", 1).select("vector", F.col("ids")[0].alias("query")), "vector").select("query_id", "query")
-    final = same.join(few, "query").filter("query_id <> vec_id")
+    final = same.join(few, "query").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return final.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
