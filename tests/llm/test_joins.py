@@ -217,8 +217,10 @@ def test_vectors(spark):
             assert [v for _, v, _ in sorted(rows)] == wanted.tolist()
         hit += len({v for _, v, _ in rows} & set(wanted.tolist()))
     assert hit >= 0.9 * 20 * len(got)
-    few = spark.createDataFrame(data[:5], "vec_id long, embedding array<float>")
-    assert vector_index.nearest(few, "vec_id = 0").count() == 4
+    few = spark.createDataFrame(data[:5] * 3 + [(0, data[7][1])], "vec_id long, embedding array<float>")
+    ranked = sorted(map(tuple, vector_index.nearest(few, "vec_id = 0").collect()))
+    both = {v: max(float(d[q] @ d[v]) for q in (0, 7)) for v in range(1, 5)}  # two vectors bear the query's id
+    assert [(r, v) for _, r, v, _ in ranked] == list(enumerate(sorted(both, key=lambda v: -both[v]), 1))
     assert vector_index.nearest(few.limit(0), "true").count() == 0
 
 

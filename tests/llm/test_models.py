@@ -37,20 +37,37 @@ def test_base_spans(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def mean_ratio(model, text):
+    n = len(secrets.ALPHABET)
+    return sum(model[secrets.ALPHABET.index(a) * n + secrets.ALPHABET.index(b)] for a, b in zip(text, text[1:], strict=False)) / (len(text) - 1)
+
+
+def test_markov_held_out():
+    """Precision and recall on strings of another seed, and on words of another language."""
+    model = secrets.train(*secrets.labelled_strings())
+    keys, names = secrets.labelled_strings(2, 3000)
+    hits, false = (sum(mean_ratio(model, s) >= secrets.THRESHOLD for s in x) for x in (keys, names))
+    assert hits >= 0.98 * len(keys) and hits / (hits + false) >= 0.99
+    rng = random.Random(6)
+    words = ["".join(rng.choice(["lle", "cion", "oga", "aux", "eur", "que", "sch", "ung", "heit", "ein", "ment", "ado"]) for _ in range(6)) for _ in range(1000)]
+    assert sum(mean_ratio(model, w) >= secrets.THRESHOLD for w in words) <= 5
+
+
 def test_markov_finds_bare_secrets_and_masks_them(spark):
     rng = random.Random(5)
     key = lambda: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789") for _ in range(32))
-    part = ["the", "tion", "and", "ing", "ment", "ver", "con"]
-    plain = lambda: "".join(rng.choice(part) for _ in range(rng.randint(5, 8)))
     bare = key()
-    texts = [f"{plain()} token = {key()} {plain()}" for _ in range(40)] + [f"see {bare} and {plain()}", plain(), None]
-    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    texts = [f"getUserName token = {key()} defaultPageHeader"] * 3 + [f"see {bare} and InternationalAccountSettings", "www/document/template/example", "", None]
+    docs = spark.createDataFrame([(i, t, -1, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, _whole string, _base string").selectExpr("*", "'c' AS _runs", "'d' AS spans", "'e' AS doc", "'f' AS hit")
     spans = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
-    assert spans[40] == f"markov:4:{4 + len(bare)}" and spans[41] == ""
-    masked = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
-    assert masked[40]["text"].startswith("see [SECRET] and ") and masked[40]["n_chars"] == len(masked[40]["text"])
-    assert masked[41]["text"] == texts[41] and masked[42]["text"] is None
-    assert re.fullmatch(r"\w+ \[SECRET\] \w+", masked[0]["text"])
+    assert spans[3] == f"markov:4:{4 + len(bare)}" and not any(spans[i] for i in (4, 5, 6))
+    frame = secrets.redact(docs)
+    assert frame.columns == docs.columns
+    masked = {r["doc_id"]: r for r in frame.collect()}
+    assert all(tuple(r)[3:] == tuple("abcdef") for r in masked.values())
+    assert masked[3]["text"] == "see [SECRET] and InternationalAccountSettings" and masked[3]["n_chars"] == len(masked[3]["text"])
+    assert all(masked[i]["text"] == texts[i] and masked[i]["n_chars"] == -1 for i in (4, 5, 6))
+    assert masked[0]["text"] == "getUserName [SECRET] defaultPageHeader"
 
 
 def labelled(spark, n=600):
