@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than one in so many of all rows.
 HOT = 1000
+#: Bytes of an Arrow batch, and the setting.
+BATCH, _BATCH = "4194304b", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +47,22 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(query):
+    """``query(spark, ...)`` in a session whose Arrow batches hold at most ``BATCH`` bytes.
+
+    Spark's default of 64 MB is held several times by each task, by the JVM
+    beside its heap and by Python.  A limit that the session has set stays.
+    """
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        if spark.conf.get(_BATCH) == "67108864b":
+            spark.conf.set(_BATCH, BATCH)
+        return query(spark, *args)
+
+    return run
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     jvm = spark.sparkContext._jvm

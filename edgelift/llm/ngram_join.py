@@ -46,6 +46,8 @@ COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 2000, 6, 20_000
 MOST_BROADCAST = 200_000
 #: Members up to which a bucket's pairs are listed, and members of a block beyond.
 FEW, BLOCK = 8, 1024
+#: n-grams of texts (some 200 bytes each) that a verifying task remembers, besides the two it compares.
+HELD = 100_000
 #: Most bits of the parity vector that bounds the difference of two sets from below.
 PARITY = 8192
 
@@ -298,12 +300,15 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
         import pyarrow as pa
 
         known: OrderedDict[int, set] = OrderedDict()
+        held = 0
 
         def grams(node, text):
+            nonlocal held
             if node not in known:
                 known[node] = ngrams(text.as_py(), n)
-                if len(known) > 64:
-                    known.popitem(last=False)
+                held += len(known[node])
+                while held > HELD and len(known) > 2:
+                    held -= len(known.popitem(last=False)[1])
             known.move_to_end(node)
             return known[node]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import new_path
+from .common import lean, new_path
 
 
 def _vocabulary(name: str) -> str:
@@ -93,7 +93,7 @@ def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = (op1_token_store, op2_toxicity, op3_ngram_join, op4_url_rules, op5_secrets, op6_quality, op7_nearest_vectors, op8_packing, op9_repeated_passages, op10_decontamination)
-    return {f.__name__: f for f in own}
+    return {f.__name__: lean(f) for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
