@@ -43,7 +43,9 @@ QUANTILES = (0.01, 0.03, 0.1, 0.3, 0.5, 0.7, 0.85, 0.9, 0.93, 0.95, 0.97, 0.99)
 BINS = 2 * len(QUANTILES) + 1
 FOLDS = 5
 #: Rows whose part of the Hessian is summed at once; words whose forms a worker remembers.
-ROWS, MEMO = 1000, 200_000
+ROWS, MEMO = 1000, 100_000
+#: Texts whose words, with all their forms, a task of the fit holds at once (some 300 KB each).
+FEW = 50
 _WORD = re.compile(r"[^\W_]+").findall
 
 
@@ -302,9 +304,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], sample
     def features(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            found = [(dense, shares(words, forms)) for dense, words in map(describe, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([d for d, _ in found], pa.list_(pa.float64())), pa.array([list(w) for _, w in found], pa.list_(pa.string())), pa.array([list(w.values()) for _, w in found], pa.list_(pa.float32()))], [*batch.schema.names[1:], "dense", "words", "shares"])
+        for part in (batch.slice(lo, FEW) for batch in batches for lo in range(0, batch.num_rows, FEW)):
+            found = [(dense, shares(words, forms)) for dense, words in map(describe, part.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([d for d, _ in found], pa.list_(pa.float64())), pa.array([list(w) for _, w in found], pa.list_(pa.string())), pa.array([list(w.values()) for _, w in found], pa.list_(pa.float32()))], [*part.schema.names[1:], "dense", "words", "shares"])
 
     ddl = "doc_id long, " + ", ".join(f"`{c}` int" for c in marks) + ", dense array<double>"
     got = materialize(rows.select("text", "doc_id", *marks).mapInArrow(features, ddl + ", words array<string>, shares array<float>"), "sample")
@@ -321,7 +323,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], sample
         import pyarrow as pa
 
         at = len(marks) + 2
-        for batch in batches:
+        for batch in (whole.slice(lo, FEW) for whole in batches for lo in range(0, whole.num_rows, FEW)):
             kept = [[(number[w], x) for w, x in zip(*pair, strict=True) if w in number] for pair in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([[w for w, _ in x] for x in kept], pa.list_(pa.int32())), pa.array([[x for _, x in k] for k in kept], pa.list_(pa.float32()))], batch.schema.names)
 

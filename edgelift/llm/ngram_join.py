@@ -123,7 +123,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 150_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxh3_64_intdigest(word)
         return out
