@@ -45,7 +45,7 @@ COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 2000, 6, 20_000
 #: Rows of a few numbers each (about 24 bytes) up to which a table is broadcast.
 MOST_BROADCAST = 200_000
 #: Members up to which a bucket's pairs are listed, and members of a block beyond.
-FEW, BLOCK = 8, 1024
+FEW, BLOCK = 8, 2048
 #: n-grams of texts (some 200 bytes each) that a verifying task remembers, besides the two it compares.
 HELD = 100_000
 #: Most bits of the parity vector that bounds the difference of two sets from below.

@@ -33,25 +33,20 @@ def _chance(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def with_evidence(docs: DataFrame, model, columns: list[str]) -> DataFrame:
-    """doc (the ``columns`` of ``docs``), doc_id, host, path and z, the classifier's log-odds (0 without a model), of rows (doc, doc_id, host, path, text).
-
-    ``text`` is null where ``columns`` hold it.
-    """
+def with_evidence(rows: DataFrame, model) -> DataFrame:
+    """``rows`` (text last) with z, the classifier's log-odds (0 without a model), in the text's place."""
     if model is None:
-        return docs.drop("text").withColumn("z", F.lit(0.0))
-    inside = "text" in columns
+        return rows.drop("text").withColumn("z", F.lit(0.0))
 
     def score(batches):
         import pyarrow as pa
 
         scorer = Scorer([model])
         for batch in batches:
-            texts = batch.column(0).field(columns.index("text")) if inside else batch.column(4)
-            found = [max(-12.0, min(12.0, scorer.logits(t.as_py())[0])) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.float64())], [*batch.schema.names[:4], "z"])
+            found = [max(-12.0, min(12.0, scorer.logits(t.as_py())[0])) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "z"])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields[:4], T.StructField("z", T.DoubleType())]))
+    return rows.mapInArrow(score, T.StructType([*rows.schema.fields[:-1], T.StructField("z", T.DoubleType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE):
@@ -88,14 +83,21 @@ def paths(scored: DataFrame, labels: DataFrame, label: str, host: str, path: str
 
 
 def _judged(docs: DataFrame, labels: DataFrame, label: str, host: str, path: str, sample: int, threshold: float, columns: list[str]) -> DataFrame:
-    """doc, the ``columns`` of a row of ``docs`` as a struct, and RESULTS.  Texts are scored once; the rows are written with their log-odds."""
-    text = F.lit(None).cast("string") if "text" in columns else F.col("text")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), text.alias("text"))
-    scored = materialize(with_evidence(rows, train(docs, labels, label, sample), columns), "evidence")
+    """doc, the ``columns`` of a row of ``docs`` as a struct, and RESULTS.
+
+    Texts are scored once and the rows written with their log-odds; but where
+    the columns hold the texts, these are scored again rather than written.
+    """
+    model = train(docs, labels, label, sample)
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc")
+    site = [F.col(host).alias("host"), F.col(path).alias("path")]
+    scored = with_evidence(docs.select(*([] if "text" in columns else [whole]), F.col("doc_id").cast("long").alias("doc_id"), *site, "text"), model)
+    scored = materialize(scored, "evidence")
     sites, mean = paths(scored, labels, label, "host", "path", "z")
     sites = materialize(sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "p_host", "p_path"), "sites")
     sites = F.broadcast(sites) if sites.count() <= MOST_BROADCAST else sites
-    out = scored.join(sites, scored["host"].eqNullSafe(sites["_host"]) & scored["path"].eqNullSafe(sites["_path"]), "left")
+    rows = with_evidence(docs.select(whole, *site, "text"), model) if "text" in columns else scored
+    out = rows.join(sites, rows["host"].eqNullSafe(sites["_host"]) & rows["path"].eqNullSafe(sites["_path"]), "left")
     good = _chance(F.col("z") + _logit(F.col("p_path")) - math.log(mean / (1 - mean)))
     return out.select("doc", _chance(F.col("z")).alias("p_doc"), "p_host", "p_path", good.alias("p_good"), (good >= threshold).alias("keep"))
 
