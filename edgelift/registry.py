@@ -83,20 +83,21 @@ register("nlf_filter", "cop", "SELECT src AS id FROM edges WHERE src_label = 0 G
 register("semi_join", "het", "SELECT src, dst FROM edges WHERE src_label = 2 AND dst_label = 1 AND dst IN (SELECT src FROM edges WHERE src_label = 1 AND dst_label = 0)")(lambda g: scans.semi_join(scans.scan(g, 2, 1), "dst", scans.scan(g, 1, 0), "src").select("src", "dst"))
 register("semi_join_count", "het", "SELECT CAST(count(DISTINCT dst) AS BIGINT) AS n FROM edges WHERE src_label = 2 AND dst_label = 1")(lambda g: scans.scan(g, 2, 1).agg(F.countDistinct("dst").alias("n")))
 _CHAIN = Query("chain", (3, 2, 1), ((0, 1), (1, 2)))
-register("full_reducer", "het", "SELECT src, dst FROM edges e WHERE src_label = 3 AND dst_label = 2 AND EXISTS (SELECT 1 FROM edges f WHERE f.src = e.dst AND f.dst_label = 1)")(lambda g: scans.full_reducer(scans.scan_query(g, _CHAIN), _CHAIN)[0, 1].select("src", "dst"))
-register("refine_candidates", "het", "SELECT id FROM vertices WHERE label = 2 AND EXISTS (SELECT 1 FROM edges WHERE src = id AND dst_label = 1) AND EXISTS (SELECT 1 FROM edges WHERE src = id AND dst_label = 3)")(lambda g: scans.refine(g, _CHAIN)[1])
+register("full_reducer", "het", "SELECT src, dst FROM edges WHERE src_label = 3 AND dst_label = 2 AND dst IN (SELECT DISTINCT src FROM edges WHERE src_label = 2 AND dst_label = 1)")(lambda g: scans.full_reducer(scans.scan_query(g, _CHAIN), _CHAIN)[0, 1].select("src", "dst"))
+register("refine_candidates", "het", "SELECT id FROM vertices WHERE label = 2 AND id IN (SELECT DISTINCT src FROM edges WHERE src_label = 2 AND dst_label = 1) AND id IN (SELECT DISTINCT src FROM edges WHERE src_label = 2 AND dst_label = 3)")(lambda g: scans.refine(g, _CHAIN)[1])
 register("hash_join_1key", "het", f"SELECT a.src AS part, {LONG} AS n FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src_label = 2 AND a.dst_label = 1 AND b.dst_label = 0 GROUP BY 1")(lambda g: scans.hash_join(scans.scan(g, 2, 1).toDF("part", "k"), scans.scan(g, 1, 0).toDF("k", "nation"), ["k"]).groupBy("part").agg(F.count("*").alias("n")))
 register("hash_join_2key", "het", f"SELECT {LONG} AS n FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src_label = 2 AND a.dst_label = 3")(lambda g: scans.hash_join(scans.scan(g, 2, 3).toDF("x", "y"), scans.scan(g, 3, 2).toDF("y", "x"), ["x", "y"]).agg(F.count("*").alias("n")))
 _SAME = "SELECT a.src AS head, b.src AS tail, {} AS n FROM edges a JOIN edges b ON a.dst = b.dst WHERE a.src_label = 0 AND b.src_label = 0 AND a.src < b.src GROUP BY 1, 2"
 
 
-def _zero_pairs(g: Graph) -> DataFrame:
-    ids = g.of_label(0)
+def _label_pairs(g: Graph, label: int) -> DataFrame:
+    ids = g.of_label(label)
     return ids.select(F.col("id").alias("head")).join(ids.select(F.col("id").alias("tail")), F.col("head") < F.col("tail"))
 
 
-register("set_intersect", "het", _SAME.format(LONG))(lambda g: scans.intersect_neighbours(g, _zero_pairs(g)).select("head", "tail", "n"))
-register("set_except", "het", f"SELECT p.head, p.tail, CAST((SELECT count(*) FROM edges WHERE src = p.head) - coalesce(s.n, 0) AS BIGINT) AS n FROM (SELECT a.id AS head, b.id AS tail FROM vertices a, vertices b WHERE a.label = 0 AND b.label = 0 AND a.id < b.id AND a.id IN (SELECT src FROM edges) AND b.id IN (SELECT src FROM edges)) p LEFT JOIN ({_SAME.format(LONG)}) s USING (head, tail)")(lambda g: scans.except_neighbours(g, _zero_pairs(g)))
+_SUPPLIERS = _SAME.replace("a.src_label = 0 AND b.src_label = 0", "a.src_label = 1 AND b.src_label = 1")
+register("set_intersect", "het", _SUPPLIERS.format(LONG))(lambda g: scans.intersect_neighbours(g, _label_pairs(g, 1)).select("head", "tail", "n"))
+register("set_except", "het", f"SELECT p.head, p.tail, CAST((SELECT count(*) FROM edges WHERE src = p.head) - coalesce(s.n, 0) AS BIGINT) AS n FROM (SELECT a.id AS head, b.id AS tail FROM vertices a, vertices b WHERE a.label = 0 AND b.label = 0 AND a.id < b.id AND a.id IN (SELECT src FROM edges) AND b.id IN (SELECT src FROM edges)) p LEFT JOIN ({_SAME.format(LONG)}) s USING (head, tail)")(lambda g: scans.except_neighbours(g, _label_pairs(g, 0)))
 
 # matching
 for q, kind in (("path3", "het"), ("c4", "het"), ("tri", "cop"), ("k4e", "cop"), ("paw", "cop")):
@@ -166,10 +167,10 @@ def _rwch_sql(q: Query, edge_no: int, n: int, samples: int) -> tuple[str, ...]:
     named = ", ".join(f"v{new[u]} AS v{u}" for u in order[:n])
     start = f"SELECT {seeded_sql(f'({number} * {samples} + s.range)')} AS state, CAST(1 AS BIGINT) AS w, {', '.join(f'v{u}' for u in order[:n])} FROM (SELECT {named} FROM ({oracle.pattern(part)})), range({samples}) s"
     chain = oracle.walk(rest, order, b, t, samples, 0, start, order[:n])
-    return (oracle.top(oracle.estimate(f"walk{len(chain) - 1}", b, t, samples, 3), K), *chain)
+    return (oracle.top(oracle.estimate(f"walk{len(chain) - 1}", b, t, samples, 1), K), *chain)
 
 
-register("rwch_c4", "het", *_rwch_sql(T("c4"), 1, 2, 10))(lambda g: walks.rwch(g, T("c4"), 1, K, 10, 0, 3, 2))
+register("rwch_c4", "het", *_rwch_sql(T("c4"), 1, 2, 10))(lambda g: walks.rwch(g, T("c4"), 1, K, 10, 0, 1, 2))
 register("rwdw_path4", "het")(lambda g: walks.rwdw(g, T("path4"), 1, K, _N))
 _WEIGHTED = "e AS (SELECT src AS head, dst AS tail, src % 7 + 1 AS weight FROM edges WHERE src_label = 1 AND dst_label = 0), spans AS (SELECT *, sum(weight) OVER (ORDER BY head, tail) AS hi FROM e)"
 register("weighted_draw", "het", f"SELECT i.range AS draw, head, tail, weight FROM range(1000) i JOIN spans ON {seeded_sql('i.range', 5)} % (SELECT sum(weight) FROM e) >= hi - weight AND {seeded_sql('i.range', 5)} % (SELECT sum(weight) FROM e) < hi", _WEIGHTED)(lambda g: walks.weighted_draw(scans.scan(g, 1, 0).select(F.col("src").alias("head"), F.col("dst").alias("tail"), (F.col("src") % 7 + 1).alias("weight")), "weight", 1000, 5))
