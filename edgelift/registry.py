@@ -120,20 +120,16 @@ register("drq_ie_path4", "het", oracle.top(oracle.growth(T("path4"), 1), K))(lam
 register("drq_single_path3", "het", oracle.top(oracle.growth(T("path3"), 0), K))(lambda g: growth.inclusion_exclusion(g, T("path3"), 0, K))
 register("drq_product_path4d", "het", oracle.top(oracle.growth(T("path4d"), 1), K))(lambda g: growth.product_only(g, T("path4d"), 1, K))
 register("drq_ie_paw", "cop", oracle.top(oracle.growth(T("paw"), 3), K))(lambda g: growth.inclusion_exclusion(g, T("paw"), 3, K))
-_SHARED = Query("shared", (1, 2, 2, 1), ((0, 1), (1, 2), (2, 3)))
-_ENDS = "a AS (SELECT src AS v0, dst AS v1 FROM edges WHERE src_label = 1 AND dst_label = 2)"
+_SHARED = Query("shared", (2, 1, 1, 2), ((0, 1), (1, 2), (2, 3)))
+_ENDS = "a AS (SELECT src AS v0, dst AS v1 FROM edges WHERE src_label = 2 AND dst_label = 1)"
 register(
     "drq_bounds",
     "het",
-    oracle.top(
-        "SELECT l.v1 AS head, r.v1 AS tail, CAST(greatest(0, l.n * r.n - coalesce(m.n, 0)) AS BIGINT) AS lower, CAST(l.n * r.n AS BIGINT) AS upper FROM (SELECT v1, count(*) n FROM a GROUP BY 1) l, (SELECT v1, count(*) n FROM a GROUP BY 1) r "
-        "LEFT JOIN (SELECT x.v1 AS h, y.v1 AS t, count(*) n FROM a x JOIN a y ON x.v0 = y.v0 GROUP BY 1, 2) m ON m.h = l.v1 AND m.t = r.v1 WHERE l.v1 <> r.v1",
-        100,
-        "upper",
-    ),
+    "SELECT l.v1 AS head, r.v1 AS tail, CAST(greatest(0, l.n * r.n - coalesce(m.n, 0)) AS BIGINT) AS lower, CAST(l.n * r.n AS BIGINT) AS upper FROM (SELECT v1, count(*) n FROM a GROUP BY 1) l CROSS JOIN (SELECT v1, count(*) n FROM a GROUP BY 1) r "
+    "LEFT JOIN (SELECT x.v1 AS h, y.v1 AS t, count(*) n FROM a x JOIN a y ON x.v0 = y.v0 GROUP BY 1, 2) m ON m.h = l.v1 AND m.t = r.v1 WHERE l.v1 <> r.v1",
     _ENDS,
-)(lambda g: growth.bounds(g, _SHARED, 1).orderBy(F.desc("upper"), "head", "tail").limit(100))
-register("usage_counts", "het", f"SELECT v1 AS head, 1 AS label, v0 AS vertex, {LONG} AS n FROM a GROUP BY 1, 3 UNION ALL SELECT v1, 2, v1, {LONG} FROM a GROUP BY 1", _ENDS)(lambda g: growth.Split(g, _SHARED, 1).usage(0))
+)(lambda g: growth.bounds(g, _SHARED, 1))
+register("usage_counts", "het", f"SELECT v1 AS head, 2 AS label, v0 AS vertex, {LONG} AS n FROM a GROUP BY 1, 3 UNION ALL SELECT v1, 1, v1, {LONG} FROM a GROUP BY 1", _ENDS)(lambda g: growth.Split(g, _SHARED, 1).usage(0))
 register("part_totals", "het", f"SELECT v1 AS head, {LONG} AS n FROM a GROUP BY 1", _ENDS)(lambda g: growth.Split(g, _SHARED, 1).totals(0))
 
 
