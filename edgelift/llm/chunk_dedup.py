@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hot_keys, materialize, width
 from .token_store import gear_table, rolling
 
 #: One in 2**BITS places is a cut, unless another hit lies within GAP bytes before.
@@ -20,7 +21,9 @@ STRETCH = 256
 #: Characters from which neighbouring repeats are reported: fifty words less the chunks at their ends.
 LEAST = 100
 
-_CHUNK = "digest long, doc_id long, row long, at int, stop int"
+#: The two halves of a chunk's 128-bit digest.
+DIGEST = ["digest", "rest"]
+_CHUNK = "digest long, rest long, doc_id long, row long, at int, stop int"
 
 
 def cuts(data: bytes):
@@ -51,13 +54,13 @@ def _stretches(hashes, begins, ends):
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, row, at, stop of every chunk; ``row`` tells repeated rows apart, places are in code points."""
+    """digest, rest, doc_id, row, at, stop of every chunk; ``row`` tells repeated rows apart, places are in code points."""
 
     def chunk(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_digest
 
         row = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -66,7 +69,7 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
                 data = (text.as_py() or "").encode("utf-8", "replace")
                 stops = cuts(data)
                 begins = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
-                digests.extend([xxh3_64_intdigest(data[a:b]) for a, b in zip(begins.tolist(), stops.tolist(), strict=True)])
+                digests.extend([xxh3_128_digest(data[a:b]) for a, b in zip(begins.tolist(), stops.tolist(), strict=True)])
                 if not data.isascii():
                     points = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)])
                     begins, stops = points[begins], points[stops]
@@ -78,7 +81,8 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
             row += len(n)
             flat = lambda parts: pa.array(np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32))
             doc_ids = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), doc_ids, pa.array(rows), flat(starts), flat(ends)], ["digest", "doc_id", "row", "at", "stop"])
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), doc_ids, pa.array(rows), flat(starts), flat(ends)], [*DIGEST, "doc_id", "row", "at", "stop"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(chunk, _CHUNK)
 
@@ -88,12 +92,21 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     A passage is a run of neighbouring chunks of at least ``least`` characters
     in all, each of which another row holds too; ``first_doc`` is the smallest
-    doc_id that holds its first chunk.  Repeated rows repeat each other; null
-    and empty texts have no chunks; an empty table gives no rows.
+    doc_id that holds its first chunk.  What repeats within one row alone is
+    no passage.  Repeated rows repeat each other; null and empty texts have no
+    chunks; texts of any length are cut whole; further columns are not read;
+    an empty table gives no rows.
     """
-    repeats = chunk_documents(docs).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.min("row").alias("_low"), F.max("row").alias("_high")).filter("_low < _high").select("digest", "first_doc")
+    counts = chunk_documents(docs).groupBy(*DIGEST).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.min("row").alias("_low"), F.max("row").alias("_high"))
+    repeats = materialize(counts.filter("_low < _high").select(*DIGEST, "first_doc", "n"), "repeats")
+    # the rows of a hot digest are dealt to ``parts`` tasks, each of which holds a copy of its entry
+    hot, parts = hot_keys(repeats, "digest").distinct().withColumn("_hot", F.lit(True)), width(docs.sparkSession)
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64("row", "at"), F.lit(parts))).otherwise(0).cast("int").alias("_part")
+    copies = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))).alias("_part")
+    entries = repeats.join(F.broadcast(hot), "digest", "left").select(*DIGEST, "first_doc", copies)
+    chunks = chunk_documents(docs).join(F.broadcast(hot), "digest", "left").select(*DIGEST, "doc_id", "row", "at", "stop", part)
     # places of one text only meet in a group, so a group is no longer than a text
-    held = chunk_documents(docs).join(repeats, "digest").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("at", "stop", "first_doc"))).alias("chunks"))
+    held = chunks.join(entries, [*DIGEST, "_part"]).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("at", "stop", "first_doc"))).alias("chunks"))
 
     def join_up(batches):
         import pyarrow as pa

@@ -120,6 +120,36 @@ def test_passages(spark):
     assert chunk_dedup.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_passages_equal_brute_force(spark):
+    """Every chunk against every other row's, one digest being held by most rows."""
+    rng = random.Random(9)
+    common, words = " ".join(f"licence{i}" for i in range(40)), [f"w{i}" for i in range(400)]
+    texts = [" ".join([*rng.choices(words, k=30), common, *rng.choices(words, k=30)]) if i % 4 else " ".join(rng.choices(words, k=90)) for i in range(300)]
+    texts += texts[:5] + ["", None, "\u00e9 " * 500, "\u00e9 " * 400]
+    cut = []
+    for t in texts:
+        data = (t or "").encode()
+        stops = chunk_dedup.cuts(data).tolist()
+        cut.append([(data[a:b], len(data[:a].decode()), len(data[:b].decode())) for a, b in zip([0, *stops], stops)])
+    holders = {}
+    for i, chunks in enumerate(cut):
+        for chunk, _, _ in chunks:
+            holders.setdefault(chunk, set()).add(i)
+    want = []
+    for i, chunks in enumerate(cut):
+        start = first = None
+        for chunk, a, b in [*chunks, (None, None, None)]:
+            if chunk is not None and len(holders[chunk]) > 1:
+                start, first, end = (a, min(holders[chunk]), b) if start is None else (start, first, b)
+            elif start is not None:
+                if end - start >= chunk_dedup.LEAST:
+                    want.append((i, start, end, first))
+                start = None
+    frame = spark.createDataFrame([(i, t, i, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, digest int, _hot string, _part int")
+    assert sorted(map(tuple, chunk_dedup.repeated_passages(frame).collect())) == sorted(want)
+    assert len(want) > 200
+
+
 def edit_distance_anywhere(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p, 1):
