@@ -12,7 +12,9 @@ overfull buckets.
 
 Each document is first compared with one central member of its buckets.  What
 is linked then needs no further comparison.  Members of a bucket that are still
-in different components are compared within blocks of the bucket, where only
+in different components are compared within blocks of the bucket by parity
+vectors.  The nearest pair of two components is verified first; members that
+may still link to another component are compared by their hashes, where only
 links that join two components are given out: a group of near copies yields as
 many rows as it has members, and no connection is lost.  Every link is verified
 on the n-grams of the texts themselves.
@@ -347,7 +349,7 @@ def folded(vectors: list[bytes]):
 
 
 def close_pairs(sizes, vectors, group, part, first: int, second: int, percent: int):
-    """(a, places b) of members of two blocks that sizes and parity vectors do not tell apart, by current group."""
+    """(a, places b, distance by size) of members of two blocks that sizes and parity vectors do not tell apart, by current group."""
     import numpy as np
 
     for a in np.flatnonzero(part == first):
@@ -355,8 +357,9 @@ def close_pairs(sizes, vectors, group, part, first: int, second: int, percent: i
         if first == second:
             can[: a + 1] = False
         can = np.flatnonzero(can & (100 * np.minimum(sizes, sizes[a]) >= percent * np.maximum(sizes, sizes[a])))
-        apart = np.bitwise_count(vectors[can] ^ vectors[a]).sum(1)
-        yield a, can[(100 + percent) * apart.astype(np.int64) <= (100 - percent) * (sizes[can] + sizes[a])]
+        apart, both = np.bitwise_count(vectors[can] ^ vectors[a]).sum(1).astype(np.int64), sizes[can] + sizes[a]
+        near = (100 + percent) * apart <= (100 - percent) * both
+        yield a, can[near], apart[near] / both[near]
 
 
 def _grouped(frame):
@@ -367,13 +370,19 @@ def _grouped(frame):
     return np.array([number[c] for c in component]), frame["part"].to_numpy(), frame["i"].iloc[0], frame["j"].iloc[0]
 
 
-def joining(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """u, v: likely links among the members (key, node, component, held) of large buckets that join components.
+def dealt(rows: DataFrame, *columns: str):
+    """Rows (key, node, component, held, ...) of buckets, grouped as pairs of blocks."""
+    parts = F.ceil(F.col("held") / BLOCK).cast("int")
+    out = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return out.select("key", "node", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), *columns).groupBy("key", "i", "j")
 
-    A bucket is dealt out as pairs of blocks.  First short parity vectors show
-    which members have a partner in another component at all; only these are
-    compared by their hashes, and what links is united at once, so a block
-    gives out fewer rows than it has members.
+
+def partners(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The members (key, node, component, held) of large buckets that may link to another component.
+
+    key, node, component, and the nearest such member of a pair of blocks:
+    mate, its component ``other`` and their distance.  Short parity vectors
+    show it, which never call a link too far; a row a block pair.
     """
 
     def vectors(batches):
@@ -386,6 +395,41 @@ def joining(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                 out.append(parity(grams, max(64, min(PARITY, 1 << (2 * len(grams) - 1).bit_length()))).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["node", "size", "bits"])
 
+    def partnered(frame):
+        import numpy as np
+        import pandas as pd
+
+        group, part, first, second = _grouped(frame)
+        best, mate = np.full(len(frame), np.inf), np.zeros(len(frame), np.int64)
+        for a, near, distance in close_pairs(frame["size"].to_numpy(), folded(frame["bits"].tolist()), group, part, first, second, percent):
+            if len(near):
+                nearer = distance < best[near]
+                best[near[nearer]], mate[near[nearer]] = distance[nearer], a
+                if distance.min() < best[a]:
+                    best[a], mate[a] = distance.min(), near[distance.argmin()]
+        alive = np.isfinite(best)
+        key, node, component = (frame[c].to_numpy() for c in ("key", "node", "component"))
+        return pd.DataFrame({"key": key[alive], "node": node[alive], "component": component[alive], "mate": node[mate[alive]], "other": component[mate[alive]], "distance": best[alive]})
+
+    short = members.join(_of_nodes(texts, members).select("node", "text", "size").mapInArrow(vectors, "node long, size long, bits binary"), "node")
+    return dealt(short, "size", "bits").applyInPandas(partnered, "key long, node long, component long, mate long, other long, distance double")
+
+
+def nearest_pairs(close: DataFrame) -> DataFrame:
+    """u, v: each node of ``partners`` with its nearest mate, and of those one pair for two components."""
+    best = close.groupBy("node").agg(F.min(F.struct("distance", "mate", "component", "other")).alias("b"))
+    ends = [F.least("b.component", "b.other").alias("one"), F.greatest("b.component", "b.other").alias("two")]
+    pairs = best.select(*ends, F.struct("b.distance", F.greatest("node", "b.mate").alias("u"), F.least("node", "b.mate").alias("v")).alias("p"))
+    return pairs.groupBy("one", "two").agg(F.min("p").alias("p")).select("p.u", "p.v")
+
+
+def uniting(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """u, v: likely links among the members (key, node, component, held) of buckets that join components.
+
+    They are compared by their hashes, and what links is united at once, so a
+    block gives out fewer rows than it has members.
+    """
+
     def hashes(batches):
         import numpy as np
         import pyarrow as pa
@@ -393,16 +437,6 @@ def joining(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed_ngrams(t.as_py(), n).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "grams"])
 
-    def partnered(frame):
-        import numpy as np
-
-        group, part, first, second = _grouped(frame)
-        alive = np.zeros(len(frame), bool)
-        for a, near in close_pairs(frame["size"].to_numpy(), folded(frame["bits"].tolist()), group, part, first, second, percent):
-            alive[near] = True
-            alive[a] |= len(near) > 0
-        return frame.loc[alive, ["key", "node"]]
-
     def unite(frame):
         import numpy as np
         import pandas as pd
@@ -412,7 +446,7 @@ def joining(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
         bits = folded([parity(g, PARITY).tobytes() for g in grams])
         group, part, first, second = _grouped(frame)
         node, u, v = frame["node"].to_numpy(), [], []
-        for a, near in close_pairs(size, bits, group, part, first, second, percent):
+        for a, near, _ in close_pairs(size, bits, group, part, first, second, percent):
             for b in near:
                 if group[a] != group[b]:
                     both = len(np.intersect1d(grams[a], grams[b], assume_unique=True))
@@ -422,15 +456,14 @@ def joining(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                         group[group == group[b]] = group[a]
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    def dealt(rows: DataFrame, *columns: str):
-        parts = F.ceil(F.col("held") / BLOCK).cast("int")
-        out = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-        return out.select("key", "node", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), *columns).groupBy("key", "i", "j")
+    return dealt(members.join(_of_nodes(texts, members).select("node", "text").mapInArrow(hashes, "node long, grams array<long>"), "node"), "grams").applyInPandas(unite, "u long, v long")
 
-    short = members.join(_of_nodes(texts, members).select("node", "text", "size").mapInArrow(vectors, "node long, size long, bits binary"), "node")
-    alive = materialize(dealt(short, "size", "bits").applyInPandas(partnered, "key long, node long").distinct(), "alive")
-    left = members.join(alive, ["key", "node"])
-    return dealt(left.join(_of_nodes(texts, alive).select("node", "text").mapInArrow(hashes, "node long, grams array<long>"), "node"), "grams").applyInPandas(unite, "u long, v long")
+
+def open_buckets(placed: DataFrame, label: DataFrame) -> DataFrame:
+    """key, node, component, held of the rows (key, node) of buckets that are still in several components."""
+    placed = placed.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("held")).filter("a < b").select("key", "held")
+    return materialize(placed.join(split, "key"), "open")
 
 
 def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -471,14 +504,18 @@ def judged_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     tried = materialize(best, "pairs")
     links = materialize(verify(fits(tried), texts, n, percent), "links")
     label = materialize(components(links), "label")
-    placed = around.join(label, "node", "left").select(F.col("top.node").alias("key"), "node", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("held")).filter("a < b").select("key", "held")
-    open_ = materialize(placed.join(split, "key"), "open")
+    open_ = open_buckets(around.select(F.col("top.node").alias("key"), "node"), label)
     few, many = open_.filter(F.col("held") <= FEW), open_.filter(F.col("held") > FEW)
     other = few.select("key", F.col("node").alias("v"), F.col("component").alias("c"))
-    pairs = few.join(other, "key").filter("component <> c AND node > v").select(F.col("node").alias("u"), "v").union(joining(many, texts, n, percent))
-    fresh = fits(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
+    pairs = few.join(other, "key").filter("component <> c AND node > v").select(F.col("node").alias("u"), "v")
+    # the nearest mates unite most components, so few sets are left whose hashes must be compared
+    close = materialize(partners(many, texts, n, percent), "close")
+    fresh = fits(pairs.union(nearest_pairs(close)).distinct().join(tried, ["u", "v"], "left_anti"))
     links = links.union(materialize(verify(fresh, texts, n, percent), "links"))
+    rest = open_buckets(close.select("key", "node").distinct(), materialize(components(links), "label"))
+    rest = rest.join(materialize(partners(rest, texts, n, percent).select("key", "node").distinct(), "close"), ["key", "node"])
+    held = rest.groupBy("key").agg(F.count("*").alias("held"))
+    links = links.union(materialize(verify(uniting(rest.drop("held").join(held, "key"), texts, n, percent).distinct(), texts, n, percent), "links"))
     # groups of near copies are hot components, groups of exact copies hot nodes
     label = materialize(components(links), "label")
     linked = materialize(label.join(nodes, "node").select("node", "component", "_id"), "linked")
