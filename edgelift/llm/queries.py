@@ -85,16 +85,46 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)
 
 
+#: Prefix filter: two sets of which 9 in 10 are common share one of the rarest tenth (and one more) of each.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT n, doc_id, CASE WHEN len(w) >= 3 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))
+                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END AS grams FROM w),
+nodes AS MATERIALIZED (SELECT row_number() OVER () AS node, grams, len(grams) AS size FROM (SELECT DISTINCT grams FROM s WHERE len(grams) > 0)),
+g AS MATERIALIZED (SELECT node, size, unnest(grams) AS gram FROM nodes),
+f AS (SELECT gram, count(*) AS df FROM g GROUP BY gram),
+p AS MATERIALIZED (SELECT node, size, gram FROM (SELECT node, size, gram, row_number() OVER (PARTITION BY node ORDER BY df, gram) AS place FROM g JOIN f USING (gram)) WHERE 10 * place <= size + 10),
+c AS MATERIALIZED (SELECT DISTINCT a.node AS u, b.node AS v FROM p a JOIN p b ON a.gram = b.gram AND a.node < b.node AND 100 * least(a.size, b.size) >= 90 * greatest(a.size, b.size)),
+i AS (SELECT u, v, a.size + b.size AS sizes, len(list_intersect(a.grams, b.grams)) AS common FROM c JOIN nodes a ON a.node = u JOIN nodes b ON b.node = v),
+l AS MATERIALIZED (SELECT u, v FROM i WHERE 100 * common >= 90 * (sizes - common)),
+e AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(node, reached) AS (SELECT node, node FROM nodes UNION SELECT r.node, e.v FROM r JOIN e ON r.reached = e.u),
+least_id AS (SELECT r.node, min(s.doc_id) AS component_id FROM r JOIN nodes ON nodes.node = r.reached JOIN s ON s.grams = nodes.grams GROUP BY r.node)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, CAST(coalesce(least_id.component_id, s.doc_id) AS BIGINT) AS component_id
+FROM s LEFT JOIN nodes ON s.grams = nodes.grams LEFT JOIN least_id USING (node)
+"""
+
+
 def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_index import nearest
 
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 20 = 0", 20)
 
 
+#: All pairs: on tables of this size the index finds all neighbours too.
+OP7_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.e, c.e)) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL),
+o AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
     own = (op1_token_store, op2_toxicity, op3_ngram_join, op4_url_rules, op5_secrets, op6_quality, op7_nearest_vectors, op8_packing, op9_repeated_passages, op10_decontamination)
     return {f.__name__: lean(f) for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_rules": OP4_SQL}
+    return {"op3_ngram_join": OP3_SQL, "op4_url_rules": OP4_SQL, "op7_nearest_vectors": OP7_SQL}

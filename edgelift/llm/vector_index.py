@@ -310,7 +310,7 @@ def nearest(vectors: DataFrame, query_filter: str, k: int = 20, vector: str = "e
                 near = np.argpartition(-rough[i], most - 1)[:most]
                 floor = rough[i][near].min()
                 near = np.flatnonzero(rough[i] >= floor - 1e-9 * max(1.0, abs(floor)))
-                exact = (x[near] * y[i]).sum(1)
+                exact = (x[near] * y[i]).cumsum(1)[:, -1]  # component by component, so that any engine gives the same bits
                 found = sorted((-s, v) for s, c in zip(exact.tolist(), near.tolist(), strict=True) for v in ids[c])[: k + 1]
                 out["query"] += [query] * len(found)
                 out["vec_id"] += [v for _, v in found]
