@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import threading
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelift.model import Graph, Query
@@ -60,9 +60,14 @@ def total_growth(graph: Graph, query: Query, k: int | None = None) -> DataFrame:
 
 def with_time_limit(action, frame: DataFrame, seconds: float):
     """``action(frame)``, cancelled after so many seconds; then a TimeoutError and no part of an answer."""
-    context = frame.sparkSession.sparkContext
-    tag = f"limited-{id(frame)}"
+    return within(frame.sparkSession, seconds, lambda: action(frame))
+
+
+def within(spark: SparkSession, seconds: float, action):
+    """``action()`` with all jobs that it runs, those of planning too, cancelled after so many seconds."""
+    context = spark.sparkContext
     over = threading.Event()
+    tag = f"limited-{id(over)}"
 
     def cancel():
         over.set()
@@ -72,7 +77,7 @@ def with_time_limit(action, frame: DataFrame, seconds: float):
     context.addJobTag(tag)
     timer.start()
     try:
-        return action(frame)
+        return action()
     except Exception as e:
         if over.is_set():
             raise TimeoutError(f"no answer within {seconds} s") from e
@@ -82,4 +87,4 @@ def with_time_limit(action, frame: DataFrame, seconds: float):
         context.removeJobTag(tag)
 
 
-__all__ = ["CONNECTED", "SPLIT", "count_matches", "method_for", "perturb", "total_growth", "with_time_limit"]
+__all__ = ["CONNECTED", "SPLIT", "count_matches", "method_for", "perturb", "total_growth", "with_time_limit", "within"]

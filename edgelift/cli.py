@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from edgelift.api import CONNECTED, SPLIT, perturb, with_time_limit
+from edgelift.api import CONNECTED, SPLIT, perturb, within
 from edgelift.sources import results, text
 
 #: Long names of the methods.
@@ -28,8 +28,10 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     graph = text.read_graph(spark, a.d).persist()
     for query in text.read_query_list(spark, a.ql, a.q):
-        frame = perturb(graph, query, k=a.k, method=(a.crq, a.drq), reduce=a.preprocess != "false")
-        with_time_limit(lambda f: results.append(f, a.output_path), frame, a.time_limit)
+        try:
+            within(spark, a.time_limit, lambda: results.append(perturb(graph, query, k=a.k, method=(a.crq, a.drq), reduce=a.preprocess != "false"), a.output_path))  # noqa: B023
+        except TimeoutError as e:
+            print(f"{query.name}: {e}")
 
 
 if __name__ == "__main__":

@@ -10,6 +10,8 @@ results stay near the size of what is still open.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +112,55 @@ def count_matches(g: Graph, q: Query, injective: bool = True, **options) -> Data
     return found.agg(F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("matches"))
 
 
-def match_rows(g: Graph, q: Query, injective: bool = True) -> DataFrame:
-    """Every match, one row each."""
-    return match(g, q, injective=injective).drop("m")
+def match_rows(g: Graph, q: Query, injective: bool = True, limit: int | None = None) -> DataFrame:
+    """Every match, one row each; no more than ``limit``, if given."""
+    rows = match(g, q, injective=injective).drop("m")
+    return rows if limit is None else rows.limit(limit)
+
+
+def depth_counts(g: Graph, q: Query, order: list[int] | None = None, injective: bool = True) -> DataFrame:
+    """depth, vertex, partial: the partial matches there are when an order has bound that vertex."""
+    order, out = list(order or best_order(q)), None
+    for depth, u in enumerate(order):
+        part, new = q.induced(order[: depth + 1])
+        steps = [new[w] for w in order[: depth + 1]]
+        found = match(g, part, {steps[0]}, steps, injective)
+        row = found.agg(F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("partial")).select(F.lit(depth).alias("depth"), F.lit(u).alias("vertex"), "partial")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: Most columns on which a plan's hash join may match.
+MOST_KEYS = 2
+
+
+def plan_edges(tree: int | list) -> list[int]:
+    """The query edges at the leaves of a hash-join plan."""
+    return [tree] if isinstance(tree, int) else [e for part in tree for e in plan_edges(part)]
+
+
+def hash_plan(g: Graph, q: Query, tree: int | list | str, injective: bool = True) -> DataFrame:
+    """Matches, one row each, by a given tree of hash joins.
+
+    tree: the number of a query edge, or [left, right] for the join of two
+    trees on the one or two query vertices that they share; also as JSON.
+    """
+    tree = json.loads(tree) if isinstance(tree, str) else tree
+    if sorted(plan_edges(tree)) != list(range(len(q.edges))):
+        raise ValueError("a plan has every query edge at one leaf")
+
+    def run(node: int | list) -> DataFrame:
+        if isinstance(node, int):
+            return relation(g, q, *q.edges[node])
+        left, right = map(run, node)
+        keys = [c for c in left.columns if c in right.columns]
+        if not 0 < len(keys) <= MOST_KEYS:
+            raise ValueError(f"a hash join takes 1 to {MOST_KEYS} common vertices")
+        rows, label = left.join(right, keys), lambda c: q.labels[int(c[1:])]
+        for a in left.columns:
+            for b in right.columns:
+                if injective and a not in keys and b not in keys and label(a) == label(b):
+                    rows = rows.filter(F.col(a) != F.col(b))
+        return rows
+
+    return run(tree).select(*(name(u) for u in range(len(q.labels))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgelift.model import Graph
+from edgelift.model import Graph, Query
 
 
 def degrees(g: Graph) -> DataFrame:
@@ -52,6 +52,18 @@ def existing(g: Graph, pairs: DataFrame, u: str = "head", v: str = "tail", prese
     return pairs.join(known, [u, v], "left_semi" if present else "left_anti")
 
 
+def cardinalities(g: Graph, q: Query) -> DataFrame:
+    """edge_no, n, heads, tails: size and distinct ends of each query edge's relation; one pass over the edges."""
+    asked = [(i, q.labels[u], q.labels[v]) for i, (u, v) in enumerate(q.edges)]
+    wanted = g.edges.sparkSession.createDataFrame(asked, "edge_no int, src_label int, dst_label int")  # at most one row a query edge
+    pairs = F.lit(False)
+    for _, a, b in asked:
+        pairs = pairs | ((F.col("src_label") == a) & (F.col("dst_label") == b))
+    sizes = g.edges.filter(pairs).groupBy("src_label", "dst_label").agg(F.count("*").alias("n"), F.countDistinct("src").alias("heads"), F.countDistinct("dst").alias("tails"))
+    found = F.broadcast(wanted).join(sizes, ["src_label", "dst_label"], "left")
+    return found.select("edge_no", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "heads", "tails")))
+
+
 def metadata(g: Graph) -> DataFrame:
     """vertices, edges, labels, max_degree, max_label_frequency."""
     v = g.vertices.agg(F.count("*").alias("vertices"), F.countDistinct("label").alias("labels"))

@@ -26,7 +26,8 @@ FIXTURES = {"het": HET, "cop": COP}
 
 def over(fixture: str, body: str, *more: str) -> str:
     """A statement over a fixture's tables; more: further common tables."""
-    return f"WITH {', '.join([FIXTURES[fixture], *more])}\n{body}"
+    recursive = "RECURSIVE " if any("UNION ALL SELECT i + 1" in x for x in more) else ""
+    return f"WITH {recursive}{', '.join([FIXTURES[fixture], *more])}\n{body}"
 
 
 def pattern(q: Query, keep: list[int] | None = None, injective: bool = True) -> str:
@@ -93,3 +94,24 @@ def walk(q: Query, order: list[int], b: int, t: int, samples: int, seed: int, st
 
 def estimate(last: str, b: int, t: int, samples: int, min_success: int) -> str:
     return f"SELECT v{b} AS head, v{t} AS tail, CAST(sum(w) // {samples} AS BIGINT) AS inc_cnt, CAST(count(*) AS BIGINT) AS successes FROM {last} GROUP BY 1, 2 HAVING count(*) >= {min_success}"
+
+
+def _rounds(name: str, columns: str, start: str, stays: str) -> tuple[str, str]:
+    """(SELECT, common table) of the rows left when those without ``stays`` are removed round by round; nothing is left if every row goes."""
+    table = f"{name} AS (SELECT 0 AS i, {columns} FROM {start} UNION ALL SELECT i + 1, {columns} FROM {name} WHERE ({columns}) IN ({stays}) AND EXISTS (SELECT 1 FROM {name} WHERE ({columns}) NOT IN ({stays})))"
+    last = f"(SELECT {columns} FROM {name} WHERE i = (SELECT max(i) FROM {name}))"
+    return f"SELECT {columns} FROM {last} l WHERE NOT EXISTS (SELECT 1 FROM {last} {name} WHERE ({columns}) NOT IN ({stays.replace(f'FROM {name}', f'FROM {last}')}))", table
+
+
+def two_core(k: int = 2) -> tuple[str, str]:
+    """SELECT and common table of the vertices of the k-core, by rounds."""
+    many = f"SELECT src FROM core GROUP BY src HAVING count(*) >= {k}"
+    body, table = _rounds("core", "src, dst", "edges", f"SELECT src, dst FROM core WHERE src IN ({many}) AND dst IN ({many})")
+    return f"SELECT DISTINCT src AS id FROM ({body})", table
+
+
+def truss(k: int) -> tuple[str, str]:
+    """SELECT and common table of the edges of which each is on k triangles or more of the rest, by rounds."""
+    found = "SELECT x.u AS a, x.v AS b, y.v AS c FROM truss x JOIN truss y ON x.v = y.u JOIN truss z ON z.u = x.u AND z.v = y.v"
+    on = f"SELECT u, v FROM (SELECT unnest([{{'u': a, 'v': b}}, {{'u': a, 'v': c}}, {{'u': b, 'v': c}}], recursive := true) FROM ({found})) GROUP BY u, v HAVING count(*) >= {k}"
+    return _rounds("truss", "u, v", "(SELECT src AS u, dst AS v FROM edges WHERE src < dst)", on)

@@ -102,6 +102,22 @@ register("set_except", "het", f"SELECT p.head, p.tail, CAST((SELECT count(*) FRO
 # matching
 for q, kind in (("path3", "het"), ("c4", "het"), ("tri", "cop"), ("k4e", "cop"), ("paw", "cop")):
     register(f"match_{q}", kind, f"SELECT {LONG} AS matches FROM ({oracle.pattern(T(q), [0])})")(lambda g, q=T(q): matching.count_matches(g, q))
+register("output_limit", "het", f"SELECT least({LONG}, 1000) AS n FROM ({oracle.pattern(T('path3'), [0])})")(lambda g: matching.match_rows(g, T("path3"), limit=1000).agg(F.count("*").alias("n")))
+
+
+def _depths(q: Query) -> str:
+    order = plan_order.best_order(q)
+    parts = [f"SELECT {i} AS depth, {u} AS vertex, {LONG} AS partial FROM ({oracle.pattern(q.induced(order[: i + 1])[0], [0])})" for i, u in enumerate(order)]
+    return " UNION ALL ".join(parts)
+
+
+for q in ("c4", "k4e"):
+    kind = "het" if q == "c4" else "cop"
+    register(f"depth_counts_{q}", kind, _depths(T(q)))(lambda g, q=T(q): matching.depth_counts(g, q))
+    ends = [f"SELECT {i} AS edge_no, {LONG} AS n, CAST(count(DISTINCT src) AS BIGINT) AS heads, CAST(count(DISTINCT dst) AS BIGINT) AS tails FROM edges WHERE src_label = {T(q).labels[u]} AND dst_label = {T(q).labels[v]}" for i, (u, v) in enumerate(T(q).edges)]
+    register(f"query_cardinalities_{q}", kind, " UNION ALL ".join(ends))(lambda g, q=T(q): statistics.cardinalities(g, q))
+register("hash_plan_c4", "het", f"SELECT {LONG} AS matches FROM ({oracle.pattern(T('c4'), [0])})")(lambda g: matching.hash_plan(g, T("c4"), "[[0, 1], [2, 3]]").agg(F.count("*").alias("matches")))
+register("hash_plan_tri", "cop", oracle.pattern(T("tri")))(lambda g: matching.hash_plan(g, T("tri"), [[0, 1], 2]))
 register("match_rows_path3", "het", oracle.pattern(T("path3")))(lambda g: matching.match_rows(g, T("path3")))
 _WALK3 = Query("walk3", (0, 1, 0), ((0, 1), (1, 2)))
 register("homomorphism_triangle_path", "cop", f"SELECT {LONG} AS matches FROM ({oracle.pattern(_WALK3, [0], False)})")(lambda g: matching.count_matches(g, _WALK3, injective=False))
@@ -179,8 +195,9 @@ register("edge_sample", "cop", f"SELECT src, dst FROM edges WHERE {seeded_sql('(
 _TRI = "t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges y ON x.dst = y.src JOIN edges z ON z.src = x.src AND z.dst = y.dst WHERE x.src < x.dst AND y.src < y.dst)"
 register("triangle_support", "cop", f"SELECT u, v, {LONG} AS support FROM (SELECT a AS u, b AS v FROM t UNION ALL SELECT a, c FROM t UNION ALL SELECT b, c FROM t) GROUP BY 1, 2", _TRI)(dense.triangle_support)
 register("four_clique_count", "cop", f"SELECT a, b, c, {LONG} AS n FROM (SELECT unnest([{{'a': q.a, 'b': q.b, 'c': q.c}}, {{'a': q.a, 'b': q.b, 'c': q.d}}, {{'a': q.a, 'b': q.c, 'c': q.d}}, {{'a': q.b, 'b': q.c, 'c': q.d}}], recursive := true) FROM (SELECT x.a, x.b, x.c, y.c AS d FROM t x JOIN t y ON x.a = y.a AND x.b = y.b AND x.c < y.c JOIN edges e ON e.src = x.c AND e.dst = y.c) q) GROUP BY 1, 2, 3", _TRI)(dense.four_clique_counts)
-register("two_core_data", "cop")(lambda g: dense.k_core(g, 2))
-register("truss_data", "cop")(lambda g: dense.k_truss(g, 1))
+register("two_core_data", "cop", *oracle.two_core())(lambda g: dense.k_core(g, 2))
+register("truss_data", "cop", "SELECT a AS u, b AS v FROM t UNION SELECT a, c FROM t UNION SELECT b, c FROM t", _TRI)(lambda g: dense.k_truss(g, 1))  # at 1 nothing falls after the first round
+register("truss_data_deep", "cop", *oracle.truss(3))(lambda g: dense.k_truss(g, 3))
 
 # sums over all edges, checks of estimates
 _ALL = " UNION ALL ".join(f"({oracle.growth(T('tri'), i)})" for i in range(3))
@@ -241,6 +258,17 @@ def _csr_round_trip(g: Graph) -> DataFrame:
     return csr.read_graph(spark, f"file:{prefix}").edges.agg(F.count("*").alias("n"), F.sum(F.col("src") * F.col("dst")).alias("mark"))
 
 
+@register("text_to_csr", "cop", f"SELECT {LONG} AS n, CAST(sum((src - lo) * (dst - lo)) AS BIGINT) AS mark FROM edges, (SELECT min(id) AS lo FROM vertices)")
+def _text_to_csr(g: Graph) -> DataFrame:
+    spark = g.edges.sparkSession
+    low = g.vertices.agg(F.min("id")).first()[0]
+    moved = Graph(g.vertices.select((F.col("id") - low).alias("id"), "label"), g.edges.withColumns({"src": F.col("src") - low, "dst": F.col("dst") - low}))
+    folder = _folder(spark)
+    text.write_graph(moved, f"file:{folder}/text")
+    csr.text_to_csr(spark, f"file:{folder}/text", f"{folder}/graph")
+    return csr.read_graph(spark, f"file:{folder}/graph").edges.agg(F.count("*").alias("n"), F.sum(F.col("src") * F.col("dst")).alias("mark"))
+
+
 @register("store_load_parquet", "het", "SELECT src, dst FROM edges WHERE src_label = 1 AND dst_label = 0")
 def _parquet_round_trip(g: Graph) -> DataFrame:
     path = f"file:{_folder(g.edges.sparkSession)}/store"

@@ -148,3 +148,24 @@ def test_rwdw_estimates(spark):
     got = found(walks.rwdw(g, SHAPES[1], 1, samples=20_000))
     assert wanted and set(got) == set(wanted)
     assert all(abs(got[p] - n) <= 1 + 0.15 * n for p, n in wanted.items())
+
+
+def test_hash_plans(spark):
+    g = Graph.in_memory(spark, {0: 0, 1: 1, 2: 1, 3: 1}, [(0, 1), (0, 2), (1, 2), (2, 3)])
+    q = Query("tri", (0, 1, 1), ((0, 1), (1, 2), (0, 2)))
+    found = sorted(map(tuple, matching.hash_plan(g, q, "[[0, 1], 2]").collect()))
+    assert found == sorted(map(tuple, matching.match_rows(g, q).collect())) == [(0, 1, 2), (0, 2, 1)]
+    assert matching.match_rows(g, q, limit=1).count() == 1
+    assert [tuple(r) for r in matching.depth_counts(g, q, [0, 1, 2]).orderBy("depth").collect()] == [(0, 0, 1), (1, 1, 2), (2, 2, 2)]
+    with pytest.raises(ValueError, match="every query edge"):
+        matching.hash_plan(g, q, [0, 1])
+    with pytest.raises(ValueError, match="common"):
+        matching.hash_plan(g, Query("far", (0, 1, 1, 1), ((0, 1), (1, 2), (2, 3))), [[0, 2], 1])
+
+
+def test_limit_covers_planning(spark):
+    def planning():
+        spark.range(10**6).foreach(lambda _: __import__("time").sleep(60))
+
+    with pytest.raises(TimeoutError):
+        api.within(spark, 1, planning)
