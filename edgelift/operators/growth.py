@@ -131,7 +131,7 @@ class Split:
                 out += [tuple(zip(left, right, strict=True)) for right in permutations(vs, n) if set(zip(left, right, strict=True)) <= set(self.pairs)]
         return out
 
-    def overlaps(self) -> DataFrame | None:
+    def overlaps(self, ends: tuple[DataFrame, DataFrame] | None = None) -> DataFrame | None:
         """head, tail, and the signed number of match pairs that meet, by inclusion-exclusion over shared vertices.
 
         Every term is an equi join on the shared vertices of sums, never a
@@ -143,18 +143,22 @@ class Split:
             side = []
             for s, (end, new) in enumerate(((self.b, "head"), (self.t, "tail"))):
                 columns = [F.col(name(p[s])).alias(key) for p, key in zip(pairs, keys, strict=True)]
-                side.append(self.tables[s].groupBy(F.col(name(end)).alias(new), *columns).agg(F.sum("m").alias(f"m{s}")))
+                rows = self.tables[s] if ends is None else self.tables[s].join(ends[s].select(F.col(new).alias(name(end))), name(end), "left_semi")
+                side.append(rows.groupBy(F.col(name(end)).alias(new), *columns).agg(F.sum("m").alias(f"m{s}")))
             term = side[0].join(side[1], keys).select("head", "tail", (F.col("m0") * F.col("m1") * (-1) ** len(pairs)).alias("part"))
             out = term if out is None else out.unionByName(term)
         return None if out is None else out.groupBy("head", "tail").agg(F.sum("part").cast("long").alias("part"))
 
-    def exact(self, pairs: DataFrame) -> DataFrame:
-        """head, tail, inc_cnt of the given pairs (head, tail, n = product of totals) that are not adjacent."""
+    def exact(self, pairs: DataFrame, ends: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """head, tail, inc_cnt of the given pairs (head, tail, n = product of totals) that are not adjacent.
+
+        ends: tables that hold every head and every tail of the pairs; other matches of the parts are not looked at.
+        """
         known = self.g.pair(self.q.labels[self.b], self.q.labels[self.t]).select(F.col("src").alias("head"), F.col("dst").alias("tail"))
         pairs = pairs.join(known, ["head", "tail"], "left_anti")
         if self.q.labels[self.b] == self.q.labels[self.t]:
             pairs = pairs.filter("head <> tail") if self.injective else pairs
-        met = self.overlaps()
+        met = self.overlaps(ends)
         counted = pairs.select("head", "tail", F.col("n").alias("inc_cnt")) if met is None else pairs.join(met, ["head", "tail"], "left").select("head", "tail", (F.col("n") + F.coalesce("part", F.lit(0))).alias("inc_cnt"))
         return counted.filter("inc_cnt > 0")
 
@@ -201,12 +205,12 @@ def inclusion_exclusion(g: Graph, q: Query, edge_no: int, k: int | None = None,
     left, right = s.totals(0).persist(), s.totals(1).persist()
     if k is None:
         return s.exact(s.product(left, right))
-    few = s.product(left.orderBy(F.desc("n"), "head").limit(probed), right.orderBy(F.desc("n"), "tail").limit(probed))
-    best = top_k(s.exact(few), k).select("inc_cnt").collect()
+    first = left.orderBy(F.desc("n"), "head").limit(probed), right.orderBy(F.desc("n"), "tail").limit(probed)
+    best = top_k(s.exact(s.product(*first), first), k).select("inc_cnt").collect()
     floor = best[-1][0] if len(best) == k else 1
     most = [side.agg(F.max("n")).first()[0] or 0 for side in (left, right)]
     left, right = left.filter(F.col("n") * most[1] >= floor), right.filter(F.col("n") * most[0] >= floor)
-    return top_k(s.exact(s.product(left, right, floor)), k)
+    return top_k(s.exact(s.product(left, right, floor), (left, right)), k)
 
 
 def product_only(g: Graph, q: Query, edge_no: int, k: int | None = None) -> DataFrame:
@@ -226,8 +230,17 @@ def exact(g: Graph, q: Query, edge_no: int, k: int | None = None, injective: boo
 
 
 def growth_of(g: Graph, q: Query, edge_no: int, pairs: DataFrame) -> DataFrame:
-    """Exact counts of given pairs (head, tail)."""
-    return exact(g, q, edge_no).join(pairs.select("head", "tail").distinct(), ["head", "tail"], "left_semi")
+    """Exact counts of given pairs (head, tail); only matches that end in one of their heads and tails are formed."""
+    b, t = q.edges[edge_no]
+    rest = q.without(edge_no)
+    pairs = pairs.select("head", "tail").distinct()
+    ends = pairs.select("head").distinct(), pairs.select("tail").distinct()
+    if len(components(rest)) == 1:
+        sets = {b: ends[0].withColumnRenamed("head", "id"), t: ends[1].withColumnRenamed("tail", "id")}
+        return _named(match(g, rest, {b, t}, sets=sets, absent=(b, t)), b, t).join(pairs, ["head", "tail"], "left_semi")
+    s = Split(g, q, edge_no)
+    totals = pairs.join(s.totals(0).withColumnRenamed("n", "a"), "head").join(s.totals(1).withColumnRenamed("n", "b"), "tail")
+    return s.exact(totals.select("head", "tail", (F.col("a") * F.col("b")).alias("n")), ends)
 
 
 def total_growth(g: Graph, q: Query, k: int | None = None) -> DataFrame:

@@ -211,6 +211,7 @@ register(
     *_CHAIN_C4,
 )(lambda g: growth.relative_error(walks.rwc(g, T("c4"), 0, None, _N, 0, 1), growth.joint(g, T("c4"), 0)))
 register("growth_of_pairs", "het", f"SELECT * FROM ({oracle.growth(T('c4'), 0)}) WHERE (head, tail) IN (SELECT head, tail FROM ({oracle.top(oracle.growth(T('c4'), 0), K)}))")(lambda g: growth.growth_of(g, T("c4"), 0, growth.joint(g, T("c4"), 0, K)))
+register("growth_of_pairs_path4", "het", f"SELECT * FROM ({oracle.growth(T('path4'), 1)}) WHERE (head, tail) IN (SELECT head, tail FROM ({oracle.top(oracle.growth(T('path4'), 1), 20)}))")(lambda g: growth.growth_of(g, T("path4"), 1, growth.inclusion_exclusion(g, T("path4"), 1, 20).select("head", "tail")))
 register(
     "perturb_path3",
     "het",
