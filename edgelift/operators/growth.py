@@ -21,6 +21,8 @@ from .scans import candidates, refine
 
 #: Endpoints of each side whose pairs set the first threshold.
 PROBED = 64
+#: Rows up to which a side of a join is sent to all executors.
+SMALL = 100_000
 
 
 def top_k(pairs: DataFrame, k: int | None) -> DataFrame:
@@ -195,22 +197,39 @@ def bounds(g: Graph, q: Query, edge_no: int) -> DataFrame:
     return pairs.join(met, ["head", "tail"], "left").filter("head <> tail").select("head", "tail", lower.alias("lower"), F.col("n").alias("upper"))
 
 
-def inclusion_exclusion(g: Graph, q: Query, edge_no: int, k: int | None = None, injective: bool = True, probed: int = PROBED) -> DataFrame:
-    """Two parts: totals of each part first, then only pairs whose product can reach the k-th best count.
+def _reaching(s: Split, k: int, probed: int = PROBED) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """The pairs (head, tail, n) whose product of totals can be among the k best, and tables that hold their ends.
 
-    The exact counts among the endpoints with most matches give a threshold;
-    endpoints that cannot reach it with the best partner go before pairs are formed.
+    The exact counts among the endpoints with most matches give a threshold: a
+    count and, as ties go to the smaller ids, a pair.  Endpoints that cannot
+    reach it with the best partner go before pairs are formed.
     """
-    s = Split(g, q, edge_no, injective)
     left, right = s.totals(0).persist(), s.totals(1).persist()
+    for n in (probed, probed * 16):  # more, if most of the first ones are adjacent
+        first = left.orderBy(F.desc("n"), "head").limit(n), right.orderBy(F.desc("n"), "tail").limit(n)
+        best = top_k(s.exact(s.product(*first), first), k).collect()
+        if len(best) == k:
+            break
+    else:
+        return s.product(left, right), (left, right)
+    floor, head, tail = best[-1]["inc_cnt"], best[-1]["head"], best[-1]["tail"]
+    most = [side.agg(F.max("n")).first()[0] for side in (left, right)]
+    left = left.filter((F.col("n") * most[1] > floor) | ((F.col("n") * most[1] == floor) & (F.col("head") <= head)))
+    right = right.filter(F.col("n") * most[0] >= floor)
+    sizes = left.count(), right.count()
+    sent = min(sizes) <= SMALL
+    ends = (F.broadcast(left) if sent and sizes[0] <= sizes[1] else left, F.broadcast(right) if sent and sizes[0] > sizes[1] else right)
+    before = (F.col("head") < head) | ((F.col("head") == head) & (F.col("tail") <= tail))
+    return s.product(*ends, floor).filter((F.col("n") > floor) | before), (left, right)
+
+
+def inclusion_exclusion(g: Graph, q: Query, edge_no: int, k: int | None = None, injective: bool = True, probed: int = PROBED) -> DataFrame:
+    """Two parts: totals of each part first, then only pairs whose product can reach the k-th best."""
+    s = Split(g, q, edge_no, injective)
     if k is None:
-        return s.exact(s.product(left, right))
-    first = left.orderBy(F.desc("n"), "head").limit(probed), right.orderBy(F.desc("n"), "tail").limit(probed)
-    best = top_k(s.exact(s.product(*first), first), k).select("inc_cnt").collect()
-    floor = best[-1][0] if len(best) == k else 1
-    most = [side.agg(F.max("n")).first()[0] or 0 for side in (left, right)]
-    left, right = left.filter(F.col("n") * most[1] >= floor), right.filter(F.col("n") * most[0] >= floor)
-    return top_k(s.exact(s.product(left, right, floor), (left, right)), k)
+        return s.exact(s.product(s.totals(0).persist(), s.totals(1).persist()))
+    pairs, ends = _reaching(s, k, probed)
+    return top_k(s.exact(pairs, ends), k)
 
 
 def product_only(g: Graph, q: Query, edge_no: int, k: int | None = None) -> DataFrame:

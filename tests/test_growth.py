@@ -169,3 +169,15 @@ def test_limit_covers_planning(spark):
 
     with pytest.raises(TimeoutError):
         api.within(spark, 1, planning)
+
+
+def test_ties_at_the_threshold_form_few_pairs(spark):
+    # 200 x 200 pairs of one count: only those before the k-th best are formed
+    pairs = [(i, 200 + i) for i in range(200)] + [(200 + i, 400) for i in range(200)]
+    g = Graph.in_memory(spark, {i: min(i // 200, 2) for i in range(401)}, pairs).persist()
+    q = Query("ties", (0, 1, 2), ((0, 1), (1, 2)))
+    near, wanted = set(pairs), sorted((x, y, 1) for x in range(200) for y in range(200, 400))
+    wanted = [w for w in wanted if w[:2] not in near][:5]
+    assert growth._reaching(growth.Split(g, q, 0), 5)[0].count() <= 64
+    for method in (growth.inclusion_exclusion,):
+        assert [tuple(r) for r in method(g, q, 0, 5).select("head", "tail", "inc_cnt").collect()] == wanted
