@@ -171,13 +171,21 @@ class Split:
 
 
 def probe(g: Graph, q: Query, edge_no: int, k: int | None = None, injective: bool = True) -> DataFrame:
-    """Two parts: every pair of part matches that are disjoint and whose ends are not adjacent, counted."""
+    """Two parts: every pair of part matches that are disjoint and whose ends are not adjacent, counted.
+
+    With k, only matches whose ends' product of totals can reach the k-th best are paired, by equi joins on the ends.
+    """
     s = Split(g, q, edge_no, injective)
     left, right = s.tables[0].withColumnRenamed("m", "m0"), s.tables[1].withColumnRenamed("m", "m1")
     apart = F.lit(True)
     for u, v in s.pairs:
         apart &= F.col(name(u)) != F.col(name(v))
-    met = left.join(right, apart).withColumn("m", F.col("m0") * F.col("m1"))
+    if k is None:
+        met = left.join(right, apart)
+    else:
+        ends = _reaching(s, k)[0].select(F.col("head").alias(name(s.b)), F.col("tail").alias(name(s.t)))
+        met = left.join(ends, name(s.b)).join(right, name(s.t)).filter(apart)
+    met = met.withColumn("m", F.col("m0") * F.col("m1"))
     known = g.pair(q.labels[s.b], q.labels[s.t]).select(F.col("src").alias(name(s.b)), F.col("dst").alias(name(s.t)))
     summed = met.groupBy(name(s.b), name(s.t)).agg(F.sum("m").alias("m"))
     return top_k(_named(summed.join(known, [name(s.b), name(s.t)], "left_anti"), s.b, s.t), k)

@@ -179,5 +179,5 @@ def test_ties_at_the_threshold_form_few_pairs(spark):
     near, wanted = set(pairs), sorted((x, y, 1) for x in range(200) for y in range(200, 400))
     wanted = [w for w in wanted if w[:2] not in near][:5]
     assert growth._reaching(growth.Split(g, q, 0), 5)[0].count() <= 64
-    for method in (growth.inclusion_exclusion,):
+    for method in (growth.inclusion_exclusion, growth.probe):
         assert [tuple(r) for r in method(g, q, 0, 5).select("head", "tail", "inc_cnt").collect()] == wanted
