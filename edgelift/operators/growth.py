@@ -13,14 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgelift.model import Graph, Query
-from edgelift.plans.order import adjust, best_order
+from edgelift.plans.order import adjust, all_orders, best_order
 from edgelift.plans.query_graph import components
 
 from .matching import match, name, relation
 from .scans import candidates, refine
+from .statistics import fans
 
 #: Endpoints of each side whose pairs set the first threshold.
 PROBED = 64
+#: Choices of the last end, on average, from which a first threshold is sought before it is bound.
+WIDE = 64
 #: Rows up to which a side of a join is sent to all executors.
 SMALL = 100_000
 
@@ -30,31 +33,115 @@ def top_k(pairs: DataFrame, k: int | None) -> DataFrame:
     return pairs if k is None else pairs.orderBy(F.desc("inc_cnt"), "head", "tail").limit(k)
 
 
-def joint(g: Graph, q: Query, edge_no: int, k: int | None = None, injective: bool = True, reduce: bool = True, order: list[int] | None = None) -> DataFrame:
-    """Connected residual: one pattern join; the non-edge is checked as soon as both ends are bound."""
+def joint(g: Graph, q: Query, edge_no: int, k: int | None = None, injective: bool = True, reduce: bool = True, order: list[int] | None = None, wide: float = WIDE) -> DataFrame:
+    """Connected residual: one pattern join; the non-edge is checked as soon as both ends are bound.
+
+    With k, where the end that is bound last has ``wide`` choices or more on
+    average, only images of the other end that can reach the k-th best are taken on to it.
+    """
     b, t = q.edges[edge_no]
     rest = q.without(edge_no)
     if len(components(rest)) > 1:
         raise ValueError("the residual is not connected")
-    sets = candidates(g, rest) if reduce and injective else None
-    found = match(g, rest, {b, t}, order, injective, sets, (b, t))
+    # a vertex that needs one neighbour of each label has them in every match
+    sets = {u: c for u, c in candidates(g, rest).items() if len({rest.labels[v] for v in rest.neighbours(u)}) < len(rest.neighbours(u))} if reduce and injective else None
+    late = _late(g, rest, b, t, injective, sets, wide) if k is not None and order is None else None
+    found = match(g, rest, {b, t}, order, injective, sets, (b, t)) if late is None else late.finish(late.reaching(k))
     return top_k(_named(found, b, t), k)
 
 
+class Late:
+    """A connected residual whose end ``last`` is bound after all other vertices."""
+
+    def __init__(self, g: Graph, rest: Query, ends: tuple[int, int], last: int, order: list[int], fan: dict, injective: bool, sets: dict[int, DataFrame] | None):
+        self.g, self.rest, self.ends, self.last, self.order, self.sets = g, rest, ends, last, order, sets
+        self.first = ends[0] if last == ends[1] else ends[1]
+        self.back = sorted(rest.neighbours(last), key=lambda u: fan[u, last])
+        # neighbours of the first end are told apart from the last one by the non-edge
+        self.same = [u for u in order if injective and rest.labels[u] == rest.labels[last] and u not in rest.neighbours(self.first)]
+        part, new = rest.induced(order)
+        inner = {new[u]: c for u, c in (sets or {}).items() if u in new}
+        keep = {self.first, *self.back, *self.same}
+        found = match(g, part, {new[u] for u in keep}, [new[u] for u in order], injective, inner, fan={(new[u], new[v]): n for (u, v), n in fan.items() if u in new and v in new})
+        names = [name(u) for u in sorted(keep)]
+        self.rows = found.select(*(F.col(name(new[u])).alias(name(u)) for u in sorted(keep)), "m").groupBy(*names).agg(F.sum("m").alias("m"))
+
+    def finish(self, rows: DataFrame) -> DataFrame:
+        """Rows with the last end bound to every vertex it can be; columns of both ends and m."""
+        u = name(self.last)
+        rows = rows.join(relation(self.g, self.rest, self.back[0], self.last, {self.last: self.sets[self.last]} if self.sets and self.last in self.sets else None), name(self.back[0]))
+        for w in self.same:
+            rows = rows.filter(F.col(name(w)) != F.col(u))
+        for w in self.back[1:]:
+            rows = rows.join(relation(self.g, self.rest, w, self.last), [name(w), u], "left_semi")
+        b, t = map(name, self.ends)
+        rows = rows.groupBy(b, t).agg(F.sum("m").alias("m"))
+        known = self.g.pair(*(self.rest.labels[x] for x in self.ends)).select(F.col("src").alias(b), F.col("dst").alias(t))
+        return rows.join(known, [b, t], "left_anti")
+
+    def reaching(self, k: int, probed: int = PROBED) -> DataFrame:
+        """The rows whose first end can be in one of the k best pairs.
+
+        A pair has at most all rows of its first end, and at most the rows
+        over one neighbour times the neighbours that a last end has.
+        """
+        x, one = name(self.back[0]), name(self.first)
+        self.rows = self.rows.persist()
+        most = relation(self.g, self.rest, self.back[0], self.last).groupBy(name(self.last)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        by = self.rows.groupBy(one, *([x] if x != one else [])).agg(F.sum("m").alias("m")).groupBy(one).agg(F.sum("m").alias("all"), F.max("m").alias("m"))
+        upper = by.select(one, F.least("all", F.col("m") * most).alias("upper")).persist()
+        for n in (probed, probed * 16):
+            tried = upper.orderBy(F.desc("upper"), one).limit(n).select(one)
+            best = top_k(_named(self.finish(self.rows.join(F.broadcast(tried), one, "left_semi")), *self.ends), k).collect()
+            if len(best) == k:
+                break
+        else:
+            return self.rows
+        floor, head = best[-1]["inc_cnt"], best[-1]["head"]
+        kept = upper.filter((F.col("upper") > floor) | ((F.col("upper") == floor) & (F.col(one) <= head if self.first == self.ends[0] else F.lit(True)))).select(one)
+        return self.rows.join(F.broadcast(kept) if kept.count() <= SMALL else kept, one, "left_semi")
+
+
+def _late(g: Graph, rest: Query, b: int, t: int, injective: bool, sets: dict[int, DataFrame] | None, wide: float) -> Late | None:
+    """The cheapest way to bind an end last, if it has so many choices there that few rows should be taken on to it."""
+    plans = []
+    fan, sizes = fans(g, rest)
+    for last in (b, t):
+        part, new = rest.induced([u for u in range(len(rest.labels)) if u != last])
+        if len(components(part)) > 1:
+            continue
+        old = {i: u for u, i in new.items()}
+        for order in all_orders(part):
+            order, cost, rows = [old[i] for i in order], 0.0, 0.0
+            for i, u in enumerate(order):
+                back = [w for w in order[:i] if w in rest.neighbours(u)]
+                rows = rows * min((fan[w, u] for w in back), default=1.0) if i != 1 else sizes[order[0], u]
+                cost += rows
+            plans.append((cost, last, order))
+    if not plans:
+        return None
+    _, last, order = min(plans, key=lambda p: (p[0], p[1], p[2]))
+    return Late(g, rest, (b, t), last, order, fan, injective, sets) if min(fan[u, last] for u in rest.neighbours(last)) >= wide else None
+
+
 def _named(found: DataFrame, b: int, t: int) -> DataFrame:
     return found.groupBy(F.col(name(b)).alias("head"), F.col(name(t)).alias("tail")).agg(F.sum("m").cast("long").alias("inc_cnt"))
 
 
-def look_ahead(g: Graph, q: Query, edge_no: int, k: int | None = None, injective: bool = True) -> DataFrame:
+def look_ahead(g: Graph, q: Query, edge_no: int, k: int | None = None, injective: bool = True, wide: float = WIDE) -> DataFrame:
     """The same answer, with the second end's candidates carried as an array.
 
     They shrink at every bound neighbour (intersection) and at the other end
     (difference); rows without any left end at once, and the array is unfolded last.
+    Where it would be long (``wide``), only images of the first end that can reach the k-th best are looked at.
     """
     b, t = q.edges[edge_no]
     rest = q.without(edge_no)
     order = adjust(rest, best_order(rest), b, t)
+    late = _late(g, rest, b, t, injective, None, wide) if k is not None else None
+    order = order if late is None else [*late.order, late.last]
     first, last = (b, t) if order.index(b) < order.index(t) else (t, b)
+    kept = None if late is None else late.reaching(k).select(F.col(name(first)).alias("id")).distinct()
     near = g.edges.filter((F.col("dst_label") == rest.labels[last])).groupBy("src").agg(F.collect_list("dst").alias("near"))
 
     def side(u: int) -> DataFrame:
@@ -80,6 +167,8 @@ def look_ahead(g: Graph, q: Query, edge_no: int, k: int | None = None, injective
                 for w in before[:depth]:
                     if rest.labels[w] == rest.labels[u]:
                         rows = rows.filter(F.col(name(w)) != F.col(name(u)))
+        if u == first and kept is not None:
+            rows = rows.join(kept.select(F.col("id").alias(name(u))), name(u), "left_semi")
         if last in rest.neighbours(u):
             rows = rows.join(side(u), name(u)).withColumn("cand", F.when(F.col("cand").isNull(), F.col("near")).otherwise(F.array_intersect("cand", "near"))).drop("near").filter(F.size("cand") > 0)
     rows = rows.join(side(first), name(first), "left").withColumn("cand", F.array_except("cand", F.coalesce("near", F.array().cast("array<long>")))).drop("near")
@@ -257,14 +346,22 @@ def exact(g: Graph, q: Query, edge_no: int, k: int | None = None, injective: boo
 
 
 def growth_of(g: Graph, q: Query, edge_no: int, pairs: DataFrame) -> DataFrame:
-    """Exact counts of given pairs (head, tail); only matches that end in one of their heads and tails are formed."""
+    """Exact counts of given pairs (head, tail); only matches that end in one of them (split residuals: in one of their heads and tails) are formed."""
     b, t = q.edges[edge_no]
     rest = q.without(edge_no)
-    pairs = pairs.select("head", "tail").distinct()
+    pairs = pairs.select("head", "tail").distinct().persist()
     ends = pairs.select("head").distinct(), pairs.select("tail").distinct()
     if len(components(rest)) == 1:
-        sets = {b: ends[0].withColumnRenamed("head", "id"), t: ends[1].withColumnRenamed("tail", "id")}
-        return _named(match(g, rest, {b, t}, sets=sets, absent=(b, t)), b, t).join(pairs, ["head", "tail"], "left_semi")
+        known = g.pair(q.labels[b], q.labels[t]).select(F.col("src").alias("head"), F.col("dst").alias("tail"))
+        apart = pairs.join(known, ["head", "tail"], "left_anti").filter("head <> tail")
+        for c, u in (("head", b), ("tail", t)):
+            apart = apart.join(g.of_label(q.labels[u]).select(F.col("id").alias(c)), c, "left_semi")
+        start = apart.select(F.col("head").alias(name(b)), F.col("tail").alias(name(t)), F.lit(1).cast("long").alias("m"))
+        fan, _ = fans(g, rest)
+        order = [b, t]
+        while len(order) < len(rest.labels):  # from the pairs on, by fewest choices
+            order.append(min(((fan[w, u], u) for w in order for u in rest.neighbours(w) if u not in order))[1])
+        return _named(match(g, rest, {b, t}, order, start=start, fan=fan), b, t)
     s = Split(g, q, edge_no)
     totals = pairs.join(s.totals(0).withColumnRenamed("n", "a"), "head").join(s.totals(1).withColumnRenamed("n", "b"), "tail")
     return s.exact(totals.select("head", "tail", (F.col("a") * F.col("b")).alias("n")), ends)

@@ -41,12 +41,14 @@ def match(
     sets: dict[int, DataFrame] | None = None,
     absent: tuple[int, int] | None = None,
     start: DataFrame | None = None,
+    fan: dict[tuple[int, int], float] | None = None,
 ) -> DataFrame:
     """Matches as columns v0, v1, ... of the query vertices in ``keep`` (all by default) and multiplicity m.
 
     absent: a pair of query vertices whose images must not be adjacent; the
     anti join stands right after both are bound.  sets: candidates by query
     vertex (column id).  start: bindings of the order's first vertices, with m.
+    fan: average choices (``statistics.fans``); a vertex is then reached from where it has fewest.
     """
     plan = Plan(q, tuple(order or best_order(q)))
     keep = set(range(len(q.labels))) if keep is None else set(keep)
@@ -58,6 +60,7 @@ def match(
         if u in bound:
             continue
         back = plan.backward(depth)
+        back = sorted(back, key=lambda w: fan[w, u]) if fan else back
         if rows is None and len(plan.order) == 1:
             rows = g.of_label(q.labels[u]).select(F.col("id").alias(name(u)))
             if sets and u in sets:

@@ -64,6 +64,15 @@ def cardinalities(g: Graph, q: Query) -> DataFrame:
     return found.select("edge_no", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "heads", "tails")))
 
 
+def fans(g: Graph, q: Query) -> tuple[dict[tuple[int, int], float], dict[tuple[int, int], int]]:
+    """For each query edge in both directions: about how many neighbours v an image of u has that has any, and the relation's size; one pass over the edges."""
+    found = g.edges.groupBy("src_label", "dst_label").agg(F.count("*").alias("n"), F.approx_count_distinct("src").alias("heads")).collect()
+    by = {(r["src_label"], r["dst_label"]): (r["n"] / max(1, r["heads"]), r["n"]) for r in found}
+    both = [e for u, v in q.edges for e in ((u, v), (v, u))]
+    of = lambda e: by.get((q.labels[e[0]], q.labels[e[1]]), (0.0, 0))
+    return {e: of(e)[0] for e in both}, {e: of(e)[1] for e in both}
+
+
 def metadata(g: Graph) -> DataFrame:
     """vertices, edges, labels, max_degree, max_label_frequency."""
     v = g.vertices.agg(F.count("*").alias("vertices"), F.countDistinct("label").alias("labels"))

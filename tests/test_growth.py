@@ -181,3 +181,29 @@ def test_ties_at_the_threshold_form_few_pairs(spark):
     assert growth._reaching(growth.Split(g, q, 0), 5)[0].count() <= 64
     for method in (growth.inclusion_exclusion, growth.probe):
         assert [tuple(r) for r in method(g, q, 0, 5).select("head", "tail", "inc_cnt").collect()] == wanted
+
+
+def test_perturb_prunes_ties(spark, monkeypatch):
+    pairs = [(i, 100 + i) for i in range(100)] + [(100 + i, 200) for i in range(100)]
+    g = Graph.in_memory(spark, {i: min(i // 100, 2) for i in range(201)}, pairs).persist()
+    formed = []
+    monkeypatch.setattr(growth.Split, "exact", lambda s, p, ends=None, f=growth.Split.exact: formed.append(p.count()) or f(s, p, ends))
+    found = api.perturb(g, Query("ties", (0, 1, 2), ((0, 1), (1, 2))), 0, k=5).select("head", "tail", "inc_cnt").collect()
+    assert [tuple(r) for r in found] == [(0, y, 1) for y in range(101, 106)]
+    assert max(formed) <= growth.PROBED**2 and formed[-1] <= growth.PROBED
+
+
+@pytest.mark.parametrize("q", [*SHAPES, Query("k4e", (0, 1, 0, 1), ((0, 1), (1, 2), (0, 2), (0, 3), (2, 3)))], ids=lambda q: q.name)
+def test_threshold_before_the_last_end(spark, q):
+    labels, pairs = data(7, 10)
+    g = Graph.in_memory(spark, labels, pairs).persist()
+    for i in range(len(q.edges)):
+        if len(components(q.without(i))) > 1:
+            continue
+        wanted = brute(labels, pairs, q, i)
+        best = [(*p, n) for p, n in sorted(wanted.items(), key=lambda x: (-x[1], x[0]))]
+        for k in (1, 3):
+            for method in (growth.joint, growth.look_ahead):
+                assert [(r["head"], r["tail"], r["inc_cnt"]) for r in method(g, q, i, k, wide=0).collect()] == best[:k]
+        ends = spark.createDataFrame([*wanted, *pairs], "head long, tail long")
+        assert found(growth.growth_of(g, q, i, ends)) == wanted
