@@ -45,3 +45,22 @@ def test_query_files_and_command_line(spark, tmp_path):
     cli.main(["-d", f"file:{tmp_path}/g", "-q", f"file:{tmp_path}/q", "-ql", f"file:{tmp_path}/list", "-k", "2", "-crq", "JointEnum", "-output_path", f"file:{tmp_path}/out"])
     rows = results.read(spark, f"file:{tmp_path}/out").collect()
     assert len(rows) == 6 and {r["inc_cnt"] for r in rows} == {1}
+
+
+def test_csr_rows_come_packed_to_the_driver(spark, tmp_path, monkeypatch):
+    n = 30_000
+    pairs = spark.range(n - 1).selectExpr("id AS u", "id + 1 AS v")
+    g = Graph.of(spark.range(n).selectExpr("id", "cast(id % 5 as int) AS label"), pairs).persist()
+    rows, frame = [], type(g.edges)
+    monkeypatch.setattr(frame, "toLocalIterator", lambda self, *a, f=frame.toLocalIterator, **b: (rows.append(1) or r for r in f(self, *a, **b)))
+    csr.write_graph(g, f"{tmp_path}/c")
+    assert len(rows) < 100
+    monkeypatch.setattr(csr, "BLOCK", 7_000)
+    back = csr.read_graph(spark, f"file:{tmp_path}/c")
+    assert back.edges.exceptAll(g.edges).count() == g.edges.exceptAll(back.edges).count() == 0
+    assert back.vertices.exceptAll(g.vertices).count() == 0 and back.vertices.count() == n
+
+
+def test_csr_gaps_are_refused(spark, tmp_path):
+    with __import__("pytest").raises(ValueError, match="without gaps"):
+        csr.write_graph(Graph.in_memory(spark, {0: 1, 2: 1}, [(0, 2)]), f"{tmp_path}/c")
