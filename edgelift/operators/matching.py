@@ -205,18 +205,28 @@ def hash_plan(g: Graph, q: Query, tree: int | list | str, injective: bool = True
 
     tree: the number of a query edge, or [left, right] for the join of two
     trees on the one or two query vertices that they share; also as JSON.
+    A side whose relations are all small is not formed where the other side is
+    not: its relations are sent to all executors and the other side's rows
+    looked up in one after the other, which gives the same rows and shuffles none.
     """
     tree = json.loads(tree) if isinstance(tree, str) else tree
     if sorted(plan_edges(tree)) != list(range(len(q.edges))):
         raise ValueError("a plan has every query edge at one leaf")
 
-    def run(node: int | list) -> DataFrame:
+    _, sizes = fans(g, q)
+    small = lambda node: all(sizes[q.edges[e]] <= LOOKUP for e in plan_edges(node))
+    vertices = lambda node: {u for e in plan_edges(node) for u in q.edges[e]}
+
+    def check(node: int | list) -> None:
         if isinstance(node, int):
-            return relation(g, q, *q.edges[node])
-        left, right = map(run, node)
-        keys = [c for c in left.columns if c in right.columns]
-        if not 0 < len(keys) <= MOST_KEYS:
+            return
+        for part in node:
+            check(part)
+        if not 0 < len(vertices(node[0]) & vertices(node[1])) <= MOST_KEYS:
             raise ValueError(f"a hash join takes 1 to {MOST_KEYS} common vertices")
+
+    def join(left: DataFrame, right: DataFrame) -> DataFrame:
+        keys = [c for c in left.columns if c in right.columns]
         rows, label = left.join(right, keys), lambda c: q.labels[int(c[1:])]
         for a in left.columns:
             for b in right.columns:
@@ -224,4 +234,18 @@ def hash_plan(g: Graph, q: Query, tree: int | list | str, injective: bool = True
                     rows = rows.filter(F.col(a) != F.col(b))
         return rows
 
+    def look_up(rows: DataFrame, node: int | list) -> DataFrame:
+        if isinstance(node, int):
+            return join(rows, F.broadcast(relation(g, q, *q.edges[node])))
+        held = {int(c[1:]) for c in rows.columns}
+        first, then = sorted(node, key=lambda part: not held & vertices(part))  # one that shares a vertex with the rows
+        return look_up(look_up(rows, first), then)
+
+    def run(node: int | list) -> DataFrame:
+        if isinstance(node, int):
+            return relation(g, q, *q.edges[node])
+        left, right = sorted(node, key=small)
+        return look_up(run(left), right) if small(right) and not isinstance(right, int) else join(run(left), run(right))
+
+    check(tree)
     return run(tree).select(*(name(u) for u in range(len(q.labels))))

@@ -36,3 +36,21 @@ def test_a_run_is_small(spark):
     frame = spark.range(200_000).select((F.col("id") % 20_000).alias("u"), (F.hash("id") % 1000).cast("long").alias("v"))
     size = sum(len(zlib.compress(r["a"], 1)) + len(zlib.compress(r["b"], 1)) for r in packed.deal(frame.coalesce(1), 8).collect())
     assert size < 5 * frame.distinct().count()
+
+
+def test_hash_plan_looks_small_sides_up(spark, monkeypatch):
+    """No join of two relations on the right is formed: its relations are broadcast and the plan has no more shuffled rows than the left side."""
+    from edgelift import fixtures
+    from edgelift.operators import matching
+
+    g, q = fixtures.graph(spark, "/root/testdata/sf0.001", "het"), fixtures.template("c4")
+    small = matching.hash_plan(g, q, "[[0, 1], [2, 3]]")
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2
+    rows = sorted(map(tuple, small.collect()))
+    monkeypatch.setattr(matching, "LOOKUP", 0)
+    plain = matching.hash_plan(g, q, "[[0, 1], [2, 3]]")
+    assert "strategy=broadcast" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert rows == sorted(map(tuple, plain.collect())) == sorted(map(tuple, matching.match_rows(g, q).collect()))
+    with pytest.raises(ValueError, match="common vertices"):
+        matching.hash_plan(g, q, "[[0, 2], [1, 3]]")
