@@ -23,6 +23,8 @@ FINE = 120
 MOST = 8_000_000
 #: Tasks that a plan aims at, where that costs few copies of edges; a closed task may have so many edges, or this part of all.
 TASKS, FEW, PART = 24, 100_000, 12
+#: Vertices of a range whose pairs are counted in one task, and rows of a batch that it gives.
+SIDE, BATCH = 5_000, 100_000
 #: Edges that are packed together, and wedges and marks that are in memory at once.
 PACKED, WEDGES, MARKS = 500_000, 2_000_000, 16_000_000
 
@@ -193,3 +195,89 @@ def by_task(g: Graph, make, schema: str) -> tuple[DataFrame, bool] | None:
 
     columns = [(c.split()[0], c.split()[0] in "abcuv") for c in schema.split(", ")]  # vertices count from the first id
     return rows.groupBy("task").applyInPandas(run, schema), closed
+
+
+def common(edges: DataFrame, shares: int) -> DataFrame:
+    """head < tail and n, how many of the rows (k, x) they have a k in common, for all x that share one; rows are distinct.
+
+    The ids x are cut into ranges, and each pair of ranges is a task that gets
+    the k seen in both, with their x, packed.  It counts in memory, so that
+    neither pairs nor wedges are shuffled.
+    """
+    from . import packed
+
+    lo, hi, many = edges.agg(F.min("x"), F.max("x"), F.approx_count_distinct("x")).first()
+    lo, hi = lo or 0, hi or 0
+    sides = max(1, -(-many // SIDE))
+    width = -(-(hi - lo + 1) // sides)
+    kind = "<i4" if hi - lo < 2**31 else "<i8"
+
+    def spread(frame):
+        import numpy as np
+        import pandas as pd
+
+        k, x = packed.ordered(*packed.opened(frame))
+        known = (k != packed.NULL) & (x != packed.NULL)
+        k, x = k[known], x[known] - lo
+        side, (_, at) = x // width, np.unique(k, return_inverse=True)
+        own = [np.flatnonzero(side == s) for s in range(sides)]
+        seen = [np.bincount(at[o], minlength=at.max() + 1) if len(o) else None for o in own]
+        rows = {"task": [], "a": [], "b": []}
+        for i in range(sides):
+            for j in range(i, sides):
+                if seen[i] is None or seen[j] is None:
+                    continue
+                both = seen[i] > 1 if i == j else (seen[i] > 0) & (seen[j] > 0)
+                e = np.concatenate([own[s][both[at[own[s]]]] for s in sorted({i, j})])
+                if len(e):  # k rises in each of the two ranges; its number serves, as all its rows are here
+                    rows["task"].append(i * sides + j)
+                    rows["a"].append(_planes(np.diff(at[e], prepend=0).astype("<i4")))
+                    rows["b"].append(_planes(x[e].astype(kind)))
+        return pd.DataFrame(rows)
+
+    def count(task, held):
+        import numpy as np
+        import pyarrow as pa
+
+        i, j = divmod(task, sides)
+        ids = [np.unique(_numbers(b, kind)) for _, b in held]
+        ids = np.unique(np.concatenate(ids))
+        heads, tails = ids[ids // width == i], ids[ids // width == j]
+        total = np.zeros(len(heads) * len(tails), "u4")
+        for a, b in held:
+            k, x = np.cumsum(_numbers(a, "<i4")), _numbers(b, kind)
+            left, right = x // width == i, x // width == j
+            code, q = np.searchsorted(heads, x[left]) * len(tails), np.searchsorted(tails, x[right])
+            first = np.searchsorted(k[right], k[left])
+            met = np.searchsorted(k[right], k[left], "right") - first
+            upto = np.append(0, np.cumsum(met))
+            cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + WEDGES, WEDGES)).clip(0, len(met)))
+            for s, e in zip([0, *cuts], [*cuts, len(met)], strict=True):
+                at = np.arange(upto[e] - upto[s]) + np.repeat(first[s:e] - (upto[s:e] - upto[s]), met[s:e])
+                np.add.at(total, np.repeat(code[s:e], met[s:e]) + q[at], np.uint32(1))
+        rows = max(1, WEDGES // len(tails))
+        for r in range(0, len(heads), rows):
+            part = total[r * len(tails) : (r + rows) * len(tails)]
+            cell = np.flatnonzero(part)
+            head, tail, n = heads[cell // len(tails) + r] + lo, tails[cell % len(tails)] + lo, part[cell]
+            if i == j:
+                later = tail > head
+                head, tail, n = head[later], tail[later], n[later]
+            for s in range(0, len(head), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(c[s : s + BATCH], pa.int64()) for c in (head, tail, n.astype("int64"))], ["head", "tail", "n"])
+
+    def run(batches):
+        task, held = None, []
+        for batch in batches:
+            for t, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if t != task and held:
+                    yield from count(task, held)
+                    held = []
+                task = t
+                held.append((a, b))
+        if held:
+            yield from count(task, held)
+
+    dealt = packed.deal(edges.select("k", "x"), shares).groupBy("task").applyInPandas(spread, packed.RUNS)
+    tasks = sides * (sides + 1) // 2
+    return dealt.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(run, "head long, tail long, n long")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from edgelift.model import Graph, Query
 from edgelift.plans.order import reducer
 
+from . import blocks, packed
 from .statistics import degrees, neighbour_labels
 
 
@@ -119,6 +120,12 @@ def intersect_neighbours(g: Graph, pairs: DataFrame) -> DataFrame:
     return both.select("head", "tail", F.array_intersect("a", "b").alias("common")).select("head", "tail", "common", F.size("common").cast("long").alias("n")).filter("n > 0")
 
 
+def common_neighbours(g: Graph, label: int) -> DataFrame:
+    """head < tail of a label and n, how many neighbours they have in common; pairs without any are left out and never formed."""
+    near = g.edges.filter(F.col("src_label") == label).select(F.col("dst").alias("k"), F.col("src").alias("x"))
+    return blocks.common(near, packed.shares(near.count()))
+
+
 def except_neighbours(g: Graph, pairs: DataFrame) -> DataFrame:
     """head, tail and how many of head's neighbours tail lacks."""
     near = g.edges.groupBy("src").agg(F.collect_list("dst").alias("near"))

@@ -96,7 +96,7 @@ def _label_pairs(g: Graph, label: int) -> DataFrame:
 
 
 _SUPPLIERS = _SAME.replace("a.src_label = 0 AND b.src_label = 0", "a.src_label = 1 AND b.src_label = 1")
-register("set_intersect", "het", _SUPPLIERS.format(LONG))(lambda g: scans.intersect_neighbours(g, _label_pairs(g, 1)).select("head", "tail", "n"))
+register("set_intersect", "het", _SUPPLIERS.format(LONG))(lambda g: scans.common_neighbours(g, 1))
 register("set_except", "het", f"SELECT p.head, p.tail, CAST((SELECT count(*) FROM edges WHERE src = p.head) - coalesce(s.n, 0) AS BIGINT) AS n FROM (SELECT a.id AS head, b.id AS tail FROM vertices a, vertices b WHERE a.label = 0 AND b.label = 0 AND a.id < b.id AND a.id IN (SELECT src FROM edges) AND b.id IN (SELECT src FROM edges)) p LEFT JOIN ({_SAME.format(LONG)}) s USING (head, tail)")(lambda g: scans.except_neighbours(g, _label_pairs(g, 0)))
 
 # matching

@@ -7,9 +7,9 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from edgelift import fixtures
+from edgelift import fixtures, registry
 from edgelift.model import Graph, Query
-from edgelift.operators import blocks, dense, matching
+from edgelift.operators import blocks, dense, matching, scans
 
 
 def near_graph(groups, size, p, seed, more=0):
@@ -93,3 +93,24 @@ def test_counts_sum_vertices_out(spark):
     got = matching.depth_counts(g, q, [0, 1, 2, 3])
     assert sorted((r["depth"], r["partial"]) for r in got.collect()) == wanted
     assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("side", "wedges"), [(7, 50), (1000, 50), (1000, 2_000_000)])
+def test_common_neighbours(spark, monkeypatch, side, wedges):
+    monkeypatch.setattr(blocks, "SIDE", side)
+    monkeypatch.setattr(blocks, "WEDGES", wedges)
+    monkeypatch.setattr(blocks, "BATCH", 10)
+    pairs = [(a * 2**33 - 5, b * 2**33 - 5) for a, b in near_graph(6, 10, 0.4, 5, 20)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    wanted = {(a, b): n for a, b in combinations(sorted(near), 2) if (n := len(near[a] & near[b]))}
+    got = scans.common_neighbours(made(spark, pairs), 0).collect()
+    assert len(got) == len(wanted) and {(r["head"], r["tail"]): r["n"] for r in got} == wanted
+    assert not scans.common_neighbours(made(spark, pairs), 3).collect()
+
+
+def test_set_intersect_forms_no_pairs(spark):
+    plan = registry.queries()["set_intersect"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
