@@ -172,9 +172,12 @@ def found(u, v, mine=None):
     return ids, x, y, [np.concatenate(part) if part else np.zeros(0, "int64") for part in out]
 
 
-def by_task(g: Graph, make, schema: str) -> tuple[DataFrame, bool] | None:
-    """What ``make(u, v, mine)`` gives for each task, columns of long; whether tasks are closed.  None: there are no edges."""
-    dealt = spread(g)
+def by_task(g: Graph, make, schema: str, dealt: tuple | None = None) -> tuple[DataFrame, bool] | None:
+    """What ``make(u, v, mine)`` gives for each task, columns of long; whether tasks are closed.  None: there are no edges.
+
+    dealt: what ``spread`` gave, if it was asked before.
+    """
+    dealt = dealt or spread(g)
     if dealt is None:
         return None
     rows, closed, (lo, width, n, kind), tasks = dealt

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgelift.model import Graph
 
-from . import blocks
+from . import blocks, shared
 
 
 def _sorted(ids, *vertices):
@@ -20,6 +20,12 @@ def _none(g: Graph, schema: str) -> DataFrame:
     return g.edges.sparkSession.createDataFrame([], schema)
 
 
+def _plan(g: Graph) -> tuple:
+    """How edges are dealt to tasks by ``blocks``, and the shared file of neighbours, if tasks are not closed and it can be made."""
+    dealt = blocks.spread(g)
+    return dealt, None if dealt is None or dealt[1] else shared.near(g)
+
+
 def triangles(g: Graph) -> DataFrame:
     """a < b < c of every triangle."""
 
@@ -41,7 +47,13 @@ def triangle_support(g: Graph) -> DataFrame:
         n = sum(np.bincount(t, minlength=len(x)) for t in three)
         return (*_sorted(ids, x[n > 0], y[n > 0]), n[n > 0])
 
-    out = blocks.by_task(g, make, schema := "u long, v long, support long")
+    def counted(u, v, slot, n, e, d):
+        return u[n > 0], v[n > 0], n[n > 0]
+
+    dealt, near = _plan(g)
+    if near is not None:
+        return near.each(counted, "u long, v long, support long")
+    out = blocks.by_task(g, make, schema := "u long, v long, support long", dealt)
     if out is None:
         return _none(g, schema)
     return out[0] if out[1] else out[0].groupBy("u", "v").agg(F.sum("support").alias("support"))
@@ -76,7 +88,31 @@ def four_clique_counts(g: Graph) -> DataFrame:
         xy, w, held = xy[held > 0], w[held > 0], held[held > 0]
         return (*_sorted(ids, x[xy], y[xy], w), held)
 
-    out = blocks.by_task(g, make, schema := "a long, b long, c long, n long")
+    def counted(u, v, slot, n, e, d):
+        import numpy as np
+
+        most = int(max(v.max(initial=0), d.max(initial=0))) + 1
+        edges, keys = u * most + v, np.sort(e * most + d)  # the edges rise by u and v, what both ends are next to by edge
+        e, d = keys // most, keys % most
+        t = np.flatnonzero(d > v[e])  # triangles u < v < w; the edges uv and uw start at u
+        first, last = np.searchsorted(e, e[t]), np.searchsorted(e, e[t], "right")
+        other = np.searchsorted(edges, u[e[t]] * most + d[t])
+        held, upto = np.zeros(len(t), "int64"), np.cumsum(more := last - first)
+        cuts = np.searchsorted(upto, np.arange(blocks.WEDGES, upto[-1], blocks.WEDGES), "right") if len(t) else []
+        for lo, hi in zip([0, *cuts], [*cuts, len(t)], strict=True):
+            k = more[lo:hi]
+            at = np.arange(k.sum()) + np.repeat(first[lo:hi] - (np.cumsum(k) - k), k)
+            seek = np.repeat(other[lo:hi], k) * most + d[at]
+            found = np.searchsorted(keys, seek)
+            hit = keys[np.minimum(found, len(keys) - 1)] == seek if len(keys) else np.zeros(0, bool)
+            held[lo:hi] += np.bincount(np.repeat(np.arange(hi - lo), k)[hit], minlength=hi - lo)
+        t, held = t[held > 0], held[held > 0]
+        return u[e[t]], v[e[t]], d[t], held
+
+    dealt, near = _plan(g)
+    if near is not None:
+        return near.each(counted, "a long, b long, c long, n long", deep=True)
+    out = blocks.by_task(g, make, schema := "a long, b long, c long, n long", dealt)
     if out is None:
         return _none(g, schema)
     return out[0] if out[1] else _joined_cliques(triangles(g))
@@ -115,7 +151,7 @@ def k_core(g: Graph, k: int = 2) -> DataFrame:
 def k_truss(g: Graph, k: int = 1) -> DataFrame:
     """u < v of the edges left when those on fewer than k triangles are removed again and again.
 
-    Closed tasks of ``blocks`` do so each by itself; else it goes round by round.
+    Closed tasks of ``blocks`` do so each by itself; else it goes round by round, in the file of ``shared`` where there is one.
     """
 
     def make(u, v, mine):
@@ -133,7 +169,15 @@ def k_truss(g: Graph, k: int = 1) -> DataFrame:
         both = e.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(e.select("v", "u"))
         return triangle_support(Graph(g.vertices, both)).filter(F.col("support") >= k).select("u", "v")
 
-    out = blocks.by_task(g, make, schema := "u long, v long") if k > 0 else None
+    def kept(u, v, slot, n, e, d):
+        return u[n >= k], v[n >= k]
+
+    dealt, near = _plan(g) if k > 0 else (None, None)
+    if near is not None:
+        if k > 1:  # at 1 an edge on a triangle keeps it, as the other two stay with it
+            near.peel(k)
+        return near.each(kept, "u long, v long")
+    out = blocks.by_task(g, make, schema := "u long, v long", dealt) if k > 0 else None
     if out is not None and out[1]:
         return out[0]
     once = g.edges.filter("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgelift import fixtures, registry
 from edgelift.model import Graph, Query
-from edgelift.operators import blocks, dense, matching, scans
+from edgelift.operators import blocks, dense, matching, scans, shared
 
 
 def near_graph(groups, size, p, seed, more=0):
@@ -114,3 +114,29 @@ def test_common_neighbours(spark, monkeypatch, side, wedges):
 def test_set_intersect_forms_no_pairs(spark):
     plan = registry.queries()["set_intersect"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shared_file(spark, monkeypatch, seed):
+    """A graph in one piece, dense ids: without a shuffle of triangles."""
+    monkeypatch.setattr(blocks, "FEW", 60)
+    monkeypatch.setattr(blocks, "WEDGES", 40)
+    monkeypatch.setattr(blocks, "MARKS", 400)
+    monkeypatch.setattr(shared, "RANGE", 50)
+    pairs = [(a - 7, b - 7) for a, b in near_graph(8, 12, 0.6, seed, 70)]
+    g, three = made(spark, pairs), triangles_of(pairs)
+    known = set(pairs)
+    assert shared.near(g) is not None and not blocks.spread(g)[1]
+    support = Counter(p for t in three for p in combinations(sorted(t), 2))
+    got = dense.triangle_support(g)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted((*p, n) for p, n in support.items())
+    cliques = Counter(t for a, b, c in (sorted(t) for t in three) for d in {y for x, y in known if x == c} if (a, d) in known and (b, d) in known for t in combinations((a, b, c, d), 3))
+    assert sorted(map(tuple, dense.four_clique_counts(g).collect())) == sorted((*t, n) for t, n in cliques.items())
+    for k in (1, 2, 3):
+        left, now = set(pairs), None
+        while left != now:
+            now = left
+            n = Counter(p for t in triangles_of(sorted(now)) for p in combinations(sorted(t), 2))
+            left = {p for p in now if n[p] >= k}
+        assert sorted(map(tuple, dense.k_truss(g, k).collect())) == sorted(left)
