@@ -28,6 +28,10 @@ from .tokens import encoder
 
 #: Chunk sizes in ids: least, the mask's mean beyond it, most.
 LEAST, MEAN_BITS, MOST = 64, 8, 4096
+#: Bytes of ids, about, that a task cuts together.
+LOT = 4_000_000
+#: Pre-tokens that a worker remembers in each of two generations (some 190 bytes each).
+MEMO = 600_000
 DIGEST = 16
 MANIFEST_FAN = 1024
 
@@ -57,24 +61,39 @@ def rolling(values, table):
 
 def cut(ids, least: int = LEAST, bits: int = MEAN_BITS, most: int = MOST) -> list[int]:
     """Ends of the chunks of an id array."""
+    return cut_each(ids, [len(ids)], least, bits, most)[0]
+
+
+def cut_each(ids, lengths: list[int], least: int = LEAST, bits: int = MEAN_BITS, most: int = MOST) -> list[list[int]]:
+    """``cut`` of the arrays of those lengths that stand in ``ids`` one after the other; ends count from each one's begin.
+
+    They are hashed together: a chunk has at least ``least`` ids, so no cut
+    depends on a hash that reaches back over an array's begin.
+    """
     import numpy as np
 
-    n = len(ids)
-    if n <= least:
-        return [n] if n else []
+    if least < 16:
+        raise ValueError("a chunk must be as long as the hash's window")
     hits = np.flatnonzero(rolling((ids & 0xFFFF).astype(np.uint16), gear_table()) >> np.uint16(16 - bits) == 0) + 1
-    ends, last = [], 0
-    for hit in hits.tolist():
-        while hit - last > most:
+    out, begin = [], 0
+    borders = np.searchsorted(hits, np.cumsum([0, *lengths]), "right").tolist()
+    hits = hits.tolist()
+    for n, a, b in zip(lengths, borders, borders[1:], strict=False):
+        ends, last = [], 0
+        for hit in hits[a:b]:
+            hit -= begin
+            while hit - last > most:
+                last += most
+                ends.append(last)
+            if hit - last >= least and hit < n:
+                ends.append(hit)
+                last = hit
+        while n - last > most:
             last += most
             ends.append(last)
-        if hit - last >= least and hit < n:
-            ends.append(hit)
-            last = hit
-    while n - last > most:
-        last += most
-        ends.append(last)
-    return [*ends, n]
+        out.append([*ends, n] if n else [])
+        begin += n
+    return out
 
 
 def digest(data: bytes) -> bytes:
@@ -141,23 +160,42 @@ def write_store(docs: DataFrame, store: str, path: str, kind: str = "word", end_
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, code, at = TaskContext.get().partitionId(), encoder(path, kind), 0
-        for batch in batches:
-            keys, loads, doc_ids, counts, recipes = [], [], [], [], []
+        part, code, at = TaskContext.get().partitionId(), encoder(path, kind, MEMO), 0
+
+        def stored(doc_ids, encoded):
+            """The rows of some documents: their new chunks, and themselves."""
+            nonlocal at
+            ids = np.frombuffer(b"".join(encoded), "<u4")
+            short = ids.astype("<u2").tobytes() if int(ids.max()) < 65536 else None
+            keys, loads, ids_of, counts, recipes, begin = [], [], [], [], [], 0
             seen = set()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(code.encode(text.as_py()) + end, "<u4")
-                start, names = 0, []
-                for stop in cut(ids):
-                    load = payload(ids[start:stop])
+            lengths = [len(e) // 4 for e in encoded]
+            for doc_id, n, ends in zip(doc_ids, lengths, cut_each(ids, lengths), strict=True):
+                start, names = begin, []
+                for stop in ends:
+                    stop += begin
+                    load = payload(ids[start:stop]) if short is None else b"\2" + short[2 * start : 2 * stop]
                     names.append(name := digest(load))
                     if name not in seen:
                         seen.add(name)
-                        keys.append(b"c" + name), loads.append(load), doc_ids.append(None), counts.append(None), recipes.append(None)
+                        keys.append(b"c" + name), loads.append(load), ids_of.append(None), counts.append(None), recipes.append(None)
                     start = stop
-                keys.append(b"d%8d%16d" % (part, at)), loads.append(None), doc_ids.append(doc_id), counts.append(len(ids)), recipes.append(b"".join(names))
+                keys.append(b"d%8d%16d" % (part, at)), loads.append(None), ids_of.append(doc_id), counts.append(n), recipes.append(b"".join(names))
                 at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(loads, pa.binary()), pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(recipes, pa.binary())], ["key", "payload", "doc_id", "n_tokens", "recipe"])
+                begin += n
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(loads, pa.binary()), pa.array(ids_of, pa.int64()), pa.array(counts, pa.int64()), pa.array(recipes, pa.binary())], ["key", "payload", "doc_id", "n_tokens", "recipe"])
+
+        for batch in batches:
+            doc_ids, encoded, size = [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                doc_ids.append(doc_id)
+                encoded.append(code.encode(text.as_py()) + end)
+                size += len(encoded[-1])
+                if size >= LOT:
+                    yield stored(doc_ids, encoded)
+                    doc_ids, encoded, size = [], [], 0
+            if doc_ids:
+                yield stored(doc_ids, encoded)
 
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "key binary, payload binary, doc_id long, n_tokens long, recipe binary")

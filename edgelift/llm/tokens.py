@@ -58,7 +58,7 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.older.get(piece)
         if out is None:
-            shown = piece.encode().decode("latin-1").translate(self.visible)
+            shown = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.visible)  # A-Z, a-z and 0-9 stand for themselves
             out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
         self[piece] = out
         return out
@@ -77,11 +77,11 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.cut(text.lower() if self.lower else text)))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, int], Encoder] = {}
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, memo: int = MEMO) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, kind)
-    return _encoders[path, kind]
+    if (path, kind, memo) not in _encoders:
+        _encoders[path, kind, memo] = Encoder(path, kind, memo)
+    return _encoders[path, kind, memo]

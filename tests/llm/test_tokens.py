@@ -142,3 +142,18 @@ def test_empty_tables(spark, tmp_path):
     assert packing.pack_documents(none, BYTE).count() == 0
     token_store.write_store(none, f"file:{tmp_path}/none", WORD)
     assert token_store.read_checked(spark, f"file:{tmp_path}/none").count() == 0
+
+
+def test_documents_are_cut_together_as_alone():
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, high, n).astype(np.uint32) for n in (0, 1, 64, 65, 300, 5000, 2, 40_000, 0, 900) for high in (3, 49_000, 90_000)]
+    parts.append(np.zeros(9000, np.uint32))
+    together = token_store.cut_each(np.concatenate(parts), [len(p) for p in parts])
+    for p, ends in zip(parts, together, strict=True):
+        h = token_store.rolling((p & 0xFFFF).astype(np.uint16), token_store.gear_table()) >> np.uint16(16 - token_store.MEAN_BITS) == 0
+        expected, last = [], 0
+        for at in range(1, len(p)):  # id by id
+            if at - last >= token_store.MOST or (h[at - 1] and at - last >= token_store.LEAST):
+                expected.append(at)
+                last = at
+        assert ends == expected + [len(p)] * bool(len(p))
