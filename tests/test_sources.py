@@ -64,3 +64,29 @@ def test_csr_rows_come_packed_to_the_driver(spark, tmp_path, monkeypatch):
 def test_csr_gaps_are_refused(spark, tmp_path):
     with __import__("pytest").raises(ValueError, match="without gaps"):
         csr.write_graph(Graph.in_memory(spark, {0: 1, 2: 1}, [(0, 2)]), f"{tmp_path}/c")
+
+
+def test_csr_passes_the_driver_by(spark, tmp_path, monkeypatch):
+    pairs = [(i, j) for i in range(0, 60, 3) for j in range(i + 1, 60, 7)]
+    g = Graph.in_memory(spark, {i: i % 5 for i in range(70)}, pairs).persist()  # the last ten have no edges
+    monkeypatch.setattr(csr.shared, "RANGE", 50)
+    monkeypatch.setattr(type(g.edges), "toLocalIterator", lambda *_, **__: 1 / 0)
+    csr.write_graph(g, f"{tmp_path}/c")
+    monkeypatch.setattr(csr, "BLOCK", 40)
+    monkeypatch.setattr(csr, "BATCH", 7)
+    back = csr.read_graph(spark, f"file:{tmp_path}/c")
+    assert "Exchange" not in back.edges._jdf.queryExecution().executedPlan().toString()
+    assert edges(back) == edges(g) and sorted(map(tuple, back.vertices.collect())) == [(i, i % 5) for i in range(70)]
+    near = {u: sorted({b for a, b in pairs if a == u} | {a for a, b in pairs if b == u}) for u in range(70)}
+    read = lambda x: __import__("numpy").fromfile(f"{tmp_path}/c_{x}.bin", "<i4").tolist()
+    assert read("deg") == [4, 70, len(set(pairs)), *(len(near[u]) for u in range(70))] and read("adj") == [v for u in range(70) for v in near[u]]
+
+
+def test_csr_lists_that_are_no_simple_graph(spark, tmp_path):
+    """Repeats, loops and edges in one of two lists only are read as before."""
+    import numpy as np
+
+    for kind, x in (("deg", [4, 4, 3, 3, 2, 0, 1]), ("adj", [1, 1, 0, 0, 2, 0]), ("label", [5, 6, 7, 8])):
+        np.array(x, "<i4").tofile(f"{tmp_path}/c_{kind}.bin")
+    wanted = [(0, 1), (0, 3), (1, 2)]
+    assert [e[:2] for e in edges(csr.read_graph(spark, f"file:{tmp_path}/c"))] == sorted([*wanted, *((b, a) for a, b in wanted)])
