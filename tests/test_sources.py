@@ -82,6 +82,17 @@ def test_csr_passes_the_driver_by(spark, tmp_path, monkeypatch):
     assert read("deg") == [4, 70, len(set(pairs)), *(len(near[u]) for u in range(70))] and read("adj") == [v for u in range(70) for v in near[u]]
 
 
+def test_text_to_csr_with_odd_lines(spark, tmp_path, monkeypatch):
+    (tmp_path / "t").write_text("t 6 5\n" + "".join(f"v {i} {i % 2} 0\n" for i in (3, 0, 5, 1, 4, 2)) + "e 0 1 0\ne 1 0 0\ne 0 1 0\ne 2 2 0\n e 4  2 0\ne 3 9 0\ne 1 4\n")
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *_, **__: 1 / 0)
+    csr.text_to_csr(spark, f"file:{tmp_path}/t", f"{tmp_path}/c")
+    wanted = edges(text.read_graph(spark, f"file:{tmp_path}/t"))
+    assert len(wanted) == 6 and edges(csr.read_graph(spark, f"file:{tmp_path}/c")) == wanted
+    (tmp_path / "gap").write_text("v 0 0 0\nv 2 0 0\ne 0 2 0\n")
+    with __import__("pytest").raises(ValueError, match="without gaps"):
+        csr.text_to_csr(spark, f"file:{tmp_path}/gap", f"{tmp_path}/g")
+
+
 def test_csr_lists_that_are_no_simple_graph(spark, tmp_path):
     """Repeats, loops and edges in one of two lists only are read as before."""
     import numpy as np
