@@ -16,6 +16,7 @@ from edgelift.model import Graph, Query
 from edgelift.plans.order import adjust, all_orders, best_order
 from edgelift.plans.query_graph import components
 
+from . import lists
 from .matching import match, name, relation
 from .scans import candidates, refine
 from .statistics import fans
@@ -133,7 +134,8 @@ def look_ahead(g: Graph, q: Query, edge_no: int, k: int | None = None, injective
 
     They shrink at every bound neighbour (intersection) and at the other end
     (difference); rows without any left end at once, and the array is unfolded last.
-    Where it would be long (``wide``), only images of the first end that can reach the k-th best are looked at.
+    Where it would be long (``wide``), only images of the first end that can reach the k-th best are looked at;
+    else the candidates are looked up in a file of neighbours (``lists``), where one can be made, and not carried.
     """
     b, t = q.edges[edge_no]
     rest = q.without(edge_no)
@@ -144,6 +146,10 @@ def look_ahead(g: Graph, q: Query, edge_no: int, k: int | None = None, injective
         while len(order) < len(rest.labels) - 1:
             order.append(min((late.fan[w, u], u) for w in order for u in rest.neighbours(w) if u not in order and u != late.last)[1])
         order.append(late.last)
+    elif order[0] in (b, t) and order[-1] in (b, t):
+        made = lists.growth(g, rest, order, b, t, k, injective, fans(g, rest)[0])
+        if made is not None:
+            return top_k(made, k)
     first, last = (b, t) if order.index(b) < order.index(t) else (t, b)
     kept = None if late is None else late.reaching(k).select(F.col(name(first)).alias("id")).distinct().persist()
     kept_small = kept is not None and kept.count() <= SMALL

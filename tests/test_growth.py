@@ -7,7 +7,7 @@ import pytest
 
 from edgelift import api, registry
 from edgelift.model import Graph, Query
-from edgelift.operators import dense, growth, matching, walks
+from edgelift.operators import blocks, dense, growth, lists, matching, shared, walks
 from edgelift.plans.order import all_orders
 from edgelift.plans.query_graph import components
 
@@ -207,3 +207,34 @@ def test_threshold_before_the_last_end(spark, q):
                 assert [(r["head"], r["tail"], r["inc_cnt"]) for r in method(g, q, i, k, wide=0).collect()] == best[:k]
         ends = spark.createDataFrame([*wanted, *pairs], "head long, tail long")
         assert found(growth.growth_of(g, q, i, ends)) == wanted
+
+
+_SIX = [
+    Query("k4e", (0, 1, 0, 1), ((0, 1), (1, 2), (0, 2), (0, 3), (2, 3))),
+    Query("same", (0, 0, 0), ((0, 1), (1, 2), (0, 2))),
+    Query("square", (0, 0, 1, 1), ((0, 1), (1, 2), (2, 3), (0, 3))),
+    Query("five", (0, 1, 0, 1, 0), ((0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (1, 4), (1, 3))),
+]
+
+
+@pytest.mark.parametrize("q", _SIX, ids=lambda q: q.name)
+def test_look_ahead_by_lists(spark, monkeypatch, q):
+    """A task has all pairs of a first end."""
+    labels, pairs = data(20, 10)
+    labels, pairs = {i - 4: x for i, x in labels.items()} | {40: 0, 41: 1}, [(a - 4, b - 4) for a, b in pairs] + [(40, 41)]
+    g = Graph.in_memory(spark, labels, pairs).persist()
+    monkeypatch.setattr(shared, "RANGE", 40)
+    monkeypatch.setattr(shared, "SPARSE", 1000)
+    monkeypatch.setattr(blocks, "MARKS", 200)
+    i, order = next((i, list(o)) for i in range(len(q.edges)) for o in all_orders(q.without(i)) if {o[0], o[-1]} == set(q.edges[i]) and brute(labels, pairs, q, i))
+    fan = {(u, v): 1.0 for u in range(len(q.labels)) for v in range(len(q.labels))}
+    monkeypatch.setattr(blocks, "WEDGES", 7)
+    wanted = brute(labels, pairs, q, i)
+    assert found(lists.growth(g, q.without(i), order, *q.edges[i], None, True, fan)) == wanted
+    best = [(*p, n) for p, n in sorted(wanted.items(), key=lambda x: (-x[1], x[0]))][:3]
+    assert [tuple(r) for r in growth.top_k(lists.growth(g, q.without(i), order, *q.edges[i], 3, True, fan), 3).collect()] == best
+
+
+def test_look_ahead_query_shuffles_no_matches(spark):
+    plan = registry.queries()["crq_lookahead_k4e"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
