@@ -284,3 +284,123 @@ def common(edges: DataFrame, shares: int) -> DataFrame:
     dealt = packed.deal(edges.select("k", "x"), shares).groupBy("task").applyInPandas(spread, packed.RUNS)
     tasks = sides * (sides + 1) // 2
     return dealt.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(run, "head long, tail long, n long")
+
+
+#: Ends of either side whose pairs are made in one task.
+ENDS = 4_000
+
+
+def products(left: DataFrame, right: DataFrame, a: DataFrame | None, b: DataFrame | None, known: DataFrame) -> DataFrame:
+    """head, tail, lower, upper of all pairs but those in ``known`` and an id with itself.
+
+    left, right: (head, n) and (tail, n); upper is the product.  a, b: distinct (k, x, n) by heads and
+    by tails; lower is less by the sum of products over a common k, and not below 0.  Ranges
+    of heads and of tails make a task, which gets the rows of k seen in both; pairs are never shuffled.
+    """
+    import numpy as np
+
+    from . import packed
+
+    spark, wide = left.sparkSession, ENDS
+    (heads, tails), (many, more) = zip(*(tuple(t.column(i).to_numpy().astype("int64") for i in (0, 1)) for t in (left.orderBy("head").toArrow(), right.orderBy("tail").toArrow())), strict=True)
+    across = max(1, -(-len(tails) // wide))
+    tasks = max(1, -(-len(heads) // wide)) * across
+    schema = "task int, kind int, a binary, b binary, c binary, d binary"
+
+    def coded(rows, ids):
+        """k, and n with the place of x in one number."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                k, x, n = (batch.column(i).to_numpy() for i in range(3))
+                if len(n) and n.max() >= (1 << 62) // len(ids):
+                    raise OverflowError("too many matches of one end and vertex")
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n * len(ids) + np.searchsorted(ids, x))], ["k", "x"])
+
+        return rows.select("k", "x", "n").mapInArrow(run, "k long, x long")
+
+    def spread(frame):
+        import pandas as pd
+
+        (k, x), (m, y) = (packed.ordered(*packed.opened(frame[frame["side"] == s])) for s in (0, 1))
+        both = np.intersect1d(k, m)
+        k, x, m, y = k[(p := np.isin(k, both))], x[p], m[(p := np.isin(m, both))], y[p]
+        k, m = np.searchsorted(both, k), np.searchsorted(both, m)
+        i, j = x % len(heads) // wide, y % len(tails) // wide
+        rows = []
+        own = [{s: np.flatnonzero(side == s) for s in np.unique(side)} for side in (i, j)]
+        seen = [{s: np.bincount(at[o], minlength=len(both)) > 0 for s, o in mine.items()} for at, mine in zip((k, m), own, strict=True)]
+        for s, one in own[0].items():
+            for t, two in own[1].items():
+                met = seen[0][s] & seen[1][t]
+                if met.any():
+                    e, f = one[met[k[one]]], two[met[m[two]]]
+                    rows.append((int(s * across + t), 0, _planes(np.diff(k[e], prepend=0).astype("<i4")), _planes(x[e].astype("<i8")), _planes(np.diff(m[f], prepend=0).astype("<i4")), _planes(y[f].astype("<i8"))))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    def adjacent(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy() for c in (0, 1))
+            if not len(x) or not len(heads) or not len(tails):
+                continue
+            h, t = np.searchsorted(heads, x).clip(0, len(heads) - 1), np.searchsorted(tails, y).clip(0, len(tails) - 1)
+            here = (heads[h] == x) & (tails[t] == y)
+            h, t = h[here], t[here]
+            task = h // wide * across + t // wide
+            lots = [np.flatnonzero(task == s) for s in np.unique(task)]
+            made = [[int(task[o[0]]) for o in lots], [1] * len(lots), [_planes(h[o].astype("<i4")) for o in lots], [_planes(t[o].astype("<i4")) for o in lots], [b""] * len(lots), [b""] * len(lots)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c < 2 else pa.binary()) for c, v in enumerate(made)], [c.split()[0] for c in schema.split(", ")])
+
+    def count(task, held):
+        import pyarrow as pa
+
+        p, q = task // across * wide, task % across * wide
+        head, tail, n, m = heads[p : p + wide], tails[q : q + wide], many[p : p + wide], more[q : q + wide]
+        met, gone = np.zeros(len(head) * len(tail), "int64"), np.zeros(len(head) * len(tail), bool)
+        for kind, a, b, c, d in held:
+            if kind == 1:
+                gone[(_numbers(a, "<i4") - p) * len(tail) + _numbers(b, "<i4") - q] = True
+            elif kind == 0:
+                k, x, l, y = np.cumsum(_numbers(a, "<i4")), _numbers(b, "<i8"), np.cumsum(_numbers(c, "<i4")), _numbers(d, "<i8")
+                first = np.searchsorted(l, k)
+                times = np.searchsorted(l, k, "right") - first
+                code, by = (x % len(heads) - p) * len(tail), x // len(heads)
+                place, also = y % len(tails) - q, y // len(tails)
+                upto = np.append(0, np.cumsum(times))
+                cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + WEDGES, WEDGES)).clip(0, len(times)))
+                for s, e in zip([0, *cuts], [*cuts, len(times)], strict=True):
+                    at = np.arange(upto[e] - upto[s]) + np.repeat(first[s:e] - (upto[s:e] - upto[s]), times[s:e])
+                    np.add.at(met, np.repeat(code[s:e], times[s:e]) + place[at], np.repeat(by[s:e], times[s:e]) * also[at])
+        rows = max(1, BATCH // max(1, len(tail)))
+        for r in range(0, len(head), rows):
+            cells = slice(r * len(tail), (r + rows) * len(tail))
+            one = head[r : r + rows]
+            h, t, upper = np.repeat(one, len(tail)), np.tile(tail, len(one)), np.multiply.outer(n[r : r + rows], m).ravel()
+            lower = np.maximum(upper - met[cells], 0)
+            kept = ~gone[cells] & (h != t)
+            yield pa.RecordBatch.from_arrays([pa.array(x if kept.all() else x[kept]) for x in (h, t, lower, upper)], ["head", "tail", "lower", "upper"])
+
+    def run(batches):
+        task, held = None, []
+        for batch in batches:
+            for t, *rest in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if t != task and held:
+                    yield from count(task, held)
+                    held = []
+                task = t
+                held.append(rest)
+        if held:
+            yield from count(task, held)
+
+    none = "cast('' AS binary)"
+    lots = spark.range(tasks).selectExpr("cast(id AS int) AS task", "2 AS kind", *(f"{none} AS {c}" for c in "abcd"))
+    lots = lots.union(known.select("head", "tail").mapInArrow(adjacent, schema))
+    if a is not None and len(heads) and len(tails):
+        shares = min(2_000, packed.shares(int(many.sum() + more.sum())))
+        sides = packed.deal(coded(a, heads), shares).withColumn("side", F.lit(0)).union(packed.deal(coded(b, tails), shares).withColumn("side", F.lit(1)))
+        lots = lots.union(sides.groupBy("task").applyInPandas(spread, schema))
+    return lots.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(run, "head long, tail long, lower long, upper long")

@@ -16,7 +16,7 @@ from edgelift.model import Graph, Query
 from edgelift.plans.order import adjust, all_orders, best_order
 from edgelift.plans.query_graph import components
 
-from . import lists
+from . import blocks, lists
 from .matching import match, name, relation
 from .scans import candidates, refine
 from .statistics import fans
@@ -299,15 +299,9 @@ def probe(g: Graph, q: Query, edge_no: int, k: int | None = None, injective: boo
 def bounds(g: Graph, q: Query, edge_no: int) -> DataFrame:
     """head, tail, lower, upper of all pairs that are not adjacent: product of totals, less the sum of usage products."""
     s = Split(g, q, edge_no)
-    pairs = s.product(s.totals(0), s.totals(1))
     known = g.pair(q.labels[s.b], q.labels[s.t]).select(F.col("src").alias("head"), F.col("dst").alias("tail"))
-    pairs = pairs.join(known, ["head", "tail"], "left_anti")
-    if not s.pairs:
-        return pairs.select("head", "tail", F.col("n").alias("lower"), F.col("n").alias("upper"))
-    a, b = s.usage(0).withColumnRenamed("n", "a"), s.usage(1).withColumnRenamed("n", "b")
-    met = a.join(b, ["label", "vertex"]).groupBy("head", "tail").agg(F.sum(F.col("a") * F.col("b")).alias("met"))
-    lower = F.greatest(F.lit(0), F.col("n") - F.coalesce("met", F.lit(0))).cast("long")
-    return pairs.join(met, ["head", "tail"], "left").filter("head <> tail").select("head", "tail", lower.alias("lower"), F.col("n").alias("upper"))
+    used = [s.usage(i).select(F.col("vertex").alias("k"), F.col(c).alias("x"), "n") for i, c in enumerate(("head", "tail"))] if s.pairs else (None, None)
+    return blocks.products(s.totals(0), s.totals(1), *used, known)
 
 
 def _reaching(s: Split, k: int, probed: int = PROBED) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:

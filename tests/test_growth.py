@@ -85,6 +85,22 @@ def test_bounds_hold(spark):
         assert r["lower"] <= wanted.get((r["head"], r["tail"]), 0) <= r["upper"]
 
 
+def test_bounds_form_pairs_in_tasks(spark, monkeypatch):
+    """All pairs that are not adjacent, by ranges of ends, and no join of pairs."""
+    labels, pairs = data(11, 16)
+    q = SHAPES[2]
+    g = Graph.in_memory(spark, labels, pairs).persist()
+    monkeypatch.setattr(blocks, "ENDS", 3)
+    got = growth.bounds(g, q, 1)
+    assert "NestedLoop" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "LeftAnti" not in plan
+    near = {x: {b if a == x else a for a, b in pairs if x in (a, b)} for x in labels}
+    zero = [x for x in labels if labels[x] == 0]
+    ends = {x: [y for y in zero if y in near[x]] for x in zero}
+    uses = {x: {x: len(ends[x])} | dict.fromkeys(ends[x], 1) for x in zero}
+    wanted = sorted((x, y, max(0, (u := len(ends[x]) * len(ends[y])) - sum(n * uses[y].get(v, 0) for v, n in uses[x].items())), u) for x in zero for y in zero if x != y and y not in near[x] and ends[x] and ends[y])
+    assert wanted and sorted(map(tuple, got.collect())) == wanted
+
+
 def test_front_door(spark):
     labels, pairs = data(2)
     g = Graph.in_memory(spark, labels, pairs).persist()
